@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.llm import components, neardup, packing, splitting, tokens
+from sedimenta.llm import components, language, neardup, packing, quality, splitting, tokens
 from sedimenta.session import table
 
 
@@ -34,6 +34,18 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_segments(table(spark, folder, "segments"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return language.undeclared_languages(*(table(spark, folder, t) for t in ("segments", "document_versions", "lang_tags", "common_words")))
+
+
+def p5_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return language.language_spans(table(spark, folder, "segments"), table(spark, folder, "common_words"))
+
+
+def p5_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return language.document_languages(table(spark, folder, "segments"), table(spark, folder, "common_words"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_ids(table(spark, folder, "documents"), "doc_id")
 
@@ -42,8 +54,16 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.unnatural(table(spark, folder, "documents"), table(spark, folder, "common_words"))
+
+
+def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.text_statistics(table(spark, folder, "documents"), table(spark, folder, "common_words"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_class_links, p2_class_members, p3_found, p4_found, p4_pieces, p6_ids, p7_containers)
+    f.__name__: f for f in (p2_found, p2_class_links, p2_class_members, p3_found, p4_found, p4_pieces, p5_found, p5_spans, p5_documents, p6_ids, p7_containers, p8_found, p8_statistics)
 }
 
 ORACLE_SQL: dict[str, str] = {}
