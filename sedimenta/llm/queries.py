@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.llm import components, language, neardup, packing, quality, splitting, tokens
+from sedimenta.llm import components, language, mail, neardup, packing, quality, splitting, tokens
 from sedimenta.session import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return mail.new_lines(table(spark, folder, "segments"), table(spark, folder, "mail_headers"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.similar_members(table(spark, folder, "postings"))
 
@@ -63,7 +67,7 @@ def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_class_links, p2_class_members, p3_found, p4_found, p4_pieces, p5_found, p5_spans, p5_documents, p6_ids, p7_containers, p8_found, p8_statistics)
+    f.__name__: f for f in (p1_found, p2_found, p2_class_links, p2_class_members, p3_found, p4_found, p4_pieces, p5_found, p5_spans, p5_documents, p6_ids, p7_containers, p8_found, p8_statistics)
 }
 
 ORACLE_SQL: dict[str, str] = {}
