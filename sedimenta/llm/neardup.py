@@ -2,15 +2,17 @@
 
 Each feature flips one bit of a fingerprint, so two fingerprints differ in at most as many bits as the sets differ in
 features. Sets of a and b features with a Jaccard similarity of at least T share at least ceil((a + b) T / (1 + T)), so they
-differ in at most D(a + b) features. The fingerprint is cut into m segments of which each feature has one; if m > D / 3, some
-segment differs in at most two bits (pigeonhole). A segment is `WORDS` Golay words, and its keys are the codeword
-indices of it and of its one-bit neighbours: segments that differ in at most two bits share a key, for certain. So joining on
-keys finds every pair; the sets themselves then decide. Sets take part with each m that a partner of a possible size
-calls for, m rounded up to a few steps, so the keys of a set are in proportion to its size.
-
-Sets that are equal are put together first and only one of them is hashed. A bucket with more than `BUCKET` sets (segments with hardly a
-feature) isn't expanded: its sets are joined again, within the bucket, on the features of their prefixes (the rarest
-|A| - ceil(T |A|) + 1, of which similar sets always share one). No bucket is capped and nothing is dropped.
+differ in at most D(a + b) features. The features are dealt to m segments; if m > D / 3, some segment differs in at most two
+features (pigeonhole). A segment's fingerprint is a Golay word, and its keys are the codeword indices of the word and of its
+one-bit neighbours: words that differ in at most two bits share one of them, for certain. Sets take part with each m that a
+partner of a possible size calls for, m rounded up to a few steps, so the keys of a set are in proportion to its size.
+
+Twelve bits of index are few for sets without end, and words of few features lie close together. So an index counts together with a feature
+of the set's prefix, the rarest |A| - ceil(T |A|) + 1, of which similar sets always share one; with a common feature (in more than one set of
+`COMMON`), two words from independent hashes are used, all pairs of whose indices are keys. Similar sets thus share a key for
+certain, buckets stay small however frequent a feature is, and none is capped. The sets themselves then decide.
+
+Sets that are equal are put together first and only one of them is hashed.
 """
 
 from __future__ import annotations
@@ -29,14 +31,10 @@ from sedimenta.functions.text import strip
 from sedimenta.llm import golay
 from sedimenta.session import checkpoint, ship
 
-#: Golay words of 23 bits in a segment.
-WORDS = 4
-#: Most sets of a bucket that are compared with one another outright.
-BUCKET = 200
-#: A feature counts as common in prefixes if more than one set in so many has it; there are at most so many times the mean set's size of them.
+#: A feature is common if more than one set in so many has it; at most so many times the mean set's size of features are.
 COMMON = 500
 #: Fingerprint bits made at once.
-_CELLS = 1 << 23
+_CELLS = 1 << 22
 
 
 def least_overlap(total: int, threshold: float) -> int:
@@ -69,47 +67,95 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-def segment_keys(values: np.ndarray, row: np.ndarray, rows: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each key, key) for `rows` sets with m segments. values: features as uint64; row: the set of each."""
+def segment_words(values: np.ndarray, row: np.ndarray, rows: int, m: int, salt: int) -> np.ndarray:
+    """[rows * m]: the Golay words of the segments of `rows` sets. values: features as uint64; row: the set of each."""
     where = _mix(values, m)
     segment = row * m + (where % np.uint64(m)).astype(np.int64)
-    bit = ((where >> np.uint64(24)) % np.uint64(WORDS * golay.BITS)).astype(np.int64)
-    odd = np.bincount(segment * (WORDS * golay.BITS) + bit, minlength=rows * m * WORDS * golay.BITS) & 1
-    words = (odd.reshape(-1, WORDS, golay.BITS) << np.arange(golay.BITS)).sum(axis=2).astype(np.int32)
-    near = golay.neighbour_indices(words).astype(np.uint64)
-    shift = np.uint64(12) * np.arange(WORDS, dtype=np.uint64)
-    own = near[:, :, 0] << shift
-    total = np.bitwise_or.reduce(own, axis=1)
-    others = total[:, None, None] ^ own[:, :, None] ^ (near[:, :, 1:] << shift[:, None])
-    keys = np.sort(np.concatenate([total[:, None], others.reshape(len(total), -1)], axis=1), axis=1)
-    fresh = np.ones(keys.shape, bool)
-    fresh[:, 1:] = keys[:, 1:] != keys[:, :-1]
-    at, _ = np.nonzero(fresh)
-    tagged = _mix(keys[fresh] ^ _mix((at % m).astype(np.uint64), 0xA5A5 + m), 0x51ED)
-    return at // m, tagged
-
-
-def _keys(threshold: float):
+    bit = (_mix(values, 0x60A1 + salt) >> np.uint64(20)) % np.uint64(golay.BITS)
+    odd = np.bincount(segment * golay.BITS + bit.astype(np.int64), minlength=rows * m * golay.BITS) & 1
+    return (odd.reshape(-1, golay.BITS) << np.arange(golay.BITS)).sum(axis=1).astype(np.int32)
+
+
+def _distinct(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different indices of each word and its neighbours: (indices, sorted, [n, 24]; which of them are the first of their value)."""
+    near = np.sort(golay.neighbour_indices(words), axis=-1)
+    fresh = np.ones(near.shape, bool)
+    fresh[:, 1:] = near[:, 1:] != near[:, :-1]
+    return near, fresh
+
+
+def _crossed(left: np.ndarray, right_start: np.ndarray, right_n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (position in left, position in right), left's group g having the range [right_start[g], + right_n[g]); left: group of each."""
+    n = right_n[left]
+    first = np.repeat(np.arange(len(left)), n)
+    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return first, np.repeat(right_start[left], n) + offset
+
+
+def anchored_keys(values: np.ndarray, row: np.ndarray, rows: int, anchors: np.ndarray, anchor_row: np.ndarray, often: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each key, key) for `rows` sets with m segments and the anchors (prefix features, by row) of each; often: which of these are common."""
+    near, fresh = _distinct(segment_words(values, row, rows, m, 0))
+    at, place = np.nonzero(fresh)
+    index = near[at, place].astype(np.uint64) | (at % m).astype(np.uint64) << np.uint64(24)
+    counts = np.bincount(at // m, minlength=rows)
+    begin = np.cumsum(counts) - counts
+    out_row, out_key = [], []
+    for common in (False, True):
+        mine = np.flatnonzero(often == common)
+        if not len(mine):
+            continue
+        anchor, key = _crossed(anchor_row[mine], begin, counts)
+        total, segment = index[key], at[key]
+        if common:
+            second, again = _distinct(segment_words(values, row, rows, m, 1))
+            at2, place2 = np.nonzero(again)
+            n2 = np.bincount(at2, minlength=rows * m)
+            first, other = _crossed(segment, np.cumsum(n2) - n2, n2)
+            anchor, total = anchor[first], total[first] | second[at2, place2][other].astype(np.uint64) << np.uint64(12)
+        out_row.append(anchor_row[mine][anchor])
+        out_key.append(_mix(total ^ _mix(anchors[mine][anchor], 0xA5A5 + m), 0x51ED))
+    return np.concatenate([np.empty(0, np.int64), *out_row]), np.concatenate([np.empty(0, np.uint64), *out_key])
+
+
+def prefixes(values: np.ndarray, row: np.ndarray, size: np.ndarray, common: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(positions in values, whether common) of each set's prefix. Any order that is the same for all sets would do; common features come last."""
+    often = np.isin(values, common)
+    order = np.lexsort((values, often, row))
+    rank = np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size)
+    length = size - np.ceil(np.round(size * threshold, 9)).astype(np.int64) + 1
+    chosen = order[rank < np.repeat(length, size)]
+    return chosen, often[chosen]
+
+
+def _keys(threshold: float, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, sets = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
             values = sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            size = np.diff(sets.offsets.to_numpy())
-            start = np.concatenate([[0], np.cumsum(size)])
-            wanted = [levels(int(n), threshold) if n else () for n in size]
+            size = np.diff(sets.offsets.to_numpy()).astype(np.int64)
+            start = np.cumsum(size) - size
+            wanted = [levels(int(n), threshold) for n in size]
             for m in sorted({m for x in wanted for m in x}):
                 mine = np.flatnonzero([m in x for x in wanted])
-                step = max(1, _CELLS // (m * WORDS * golay.BITS))
+                step = max(1, _CELLS // (m * golay.BITS))
                 for part in (mine[i : i + step] for i in range(0, len(mine), step)):
                     n = size[part]
-                    row = np.repeat(np.arange(len(part)), n)
-                    at = np.repeat(start[part] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                    rows, keys = segment_keys(values[at], row, len(part), m)
+                    row, at = _crossed(np.arange(len(part)), start[part], n)
+                    own = values[at]
+                    chosen, often = prefixes(own, row, n, common.value, threshold)
+                    rows, keys = anchored_keys(own, row, len(part), own[chosen], row[chosen], often, m)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[part][rows]), pa.array(keys.view(np.int64))], names=["id", "key"])
 
     return run
 
 
+def common_features(distinct: DataFrame) -> np.ndarray:
+    """The features of more than one set in `COMMON`; their number is bounded by that times the mean size of a set."""
+    counts = distinct.select(F.explode("features").alias("f")).groupBy("f").count()
+    least = distinct.count() / COMMON
+    return np.sort(np.array([r.f for r in counts.filter(F.col("count") > least).select("f").collect()], np.int64).view(np.uint64))
+
+
 def feature_sets(postings: DataFrame) -> DataFrame:
     """(member, features ARRAY<BIGINT>): sorted 64-bit hashes of each member's features, which compare in lower case without surrounding whitespace.
 
@@ -125,27 +171,6 @@ def _similar(a: Column, b: Column, threshold: float) -> Column:
     return shared >= F.lit(threshold) * (F.size(a) + F.size(b) - shared)
 
 
-def _bounded(a: str, b: str, threshold: float) -> Column:
-    """What the sizes alone allow."""
-    return (F.col(a) >= F.lit(threshold) * F.col(b)) & (F.col(b) >= F.lit(threshold) * F.col(a))
-
-
-def _bucket_pairs(keyed: DataFrame, on: list[str], threshold: float) -> DataFrame:
-    left = keyed.select(*on, F.col("id").alias("a"), F.col("n").alias("na"))
-    right = keyed.select(*on, F.col("id").alias("b"), F.col("n").alias("nb"))
-    return left.join(right, on).filter((F.col("a") < F.col("b")) & _bounded("na", "nb", threshold)).select("a", "b").distinct()
-
-
-def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """(id, f): of each set, the features of which it shares one with each similar set; common features come last."""
-    features = sets.select(F.explode("features").alias("f"))
-    common = features.groupBy("f").count().crossJoin(F.broadcast(sets.agg(F.count("*").alias("all")))).filter(F.col("count") * COMMON > F.col("all"))
-    rows = sets.select("id", "n", F.explode("features").alias("f")).join(F.broadcast(common.select("f", F.lit(True).alias("often"))), "f", "left")
-    order = W.partitionBy("id").orderBy(F.coalesce("often", F.lit(False)), "f")
-    length = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= length).select("id", "f")
-
-
 def classes(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Equal feature sets put together: (id, rep, members, n, features) of each distinct set, and (member, id).
 
@@ -161,16 +186,14 @@ def classes(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def similar_classes(distinct: DataFrame, threshold: float = 0.75) -> DataFrame:
     """(a, b): ids of the pairs of distinct sets with a Jaccard similarity of at least `threshold`, each once."""
-    ship(distinct.sparkSession)
-    keys = distinct.select("id", "features").mapInArrow(_keys(threshold), "id bigint, key bigint")
+    spark = distinct.sparkSession
+    ship(spark)
+    common = spark.sparkContext.broadcast(common_features(distinct))
+    keys = distinct.select("id", "features").mapInArrow(_keys(threshold, common), "id bigint, key bigint")
     # Most keys have one set; only the others are kept, counted where they were shuffled to be joined.
-    shared = keys.withColumn("sets", F.count("*").over(W.partitionBy("key"))).filter("sets > 1")
-    shared = checkpoint(shared.join(distinct.select("id", "n"), "id"))
-    pairs = _bucket_pairs(shared.filter(F.col("sets") <= BUCKET), ["key"], threshold)
-    large = shared.filter(F.col("sets") > BUCKET)
-    if large.limit(1).count():
-        there = distinct.join(large.select("id").distinct(), "id", "left_semi")
-        pairs = pairs.unionByName(_bucket_pairs(large.join(_prefixes(there, threshold), "id"), ["key", "f"], threshold)).distinct()
+    shared = checkpoint(keys.withColumn("sets", F.count("*").over(W.partitionBy("key"))).filter("sets > 1").select("id", "key"))
+    sides = [shared.select("key", F.col("id").alias(x)) for x in "ab"]
+    pairs = sides[0].join(sides[1], "key").filter("a < b").select("a", "b").distinct()
     first = distinct.select(F.col("id").alias("a"), F.col("features").alias("fa"))
     second = distinct.select(F.col("id").alias("b"), F.col("features").alias("fb"))
     return pairs.join(first, "a").join(second, "b").filter(_similar(F.col("fa"), F.col("fb"), threshold)).select("a", "b")
