@@ -62,12 +62,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """`df` written once to the shared folder: lineage ends there and a lost executor costs nothing that was written."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 class Scratch:
     """Tables written below the checkpoint folder, for loops: a checkpointed DataFrame carries the constraints of its
     plan on, and in a loop of joins these multiply with each round; a table read again starts afresh.
@@ -102,6 +96,17 @@ class Scratch:
         self.tables = [x for x in self.tables if x[0] is not df]
 
 
+_SCRATCH: dict[str, Scratch] = {}
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """`df` written once, as a compressed table in the shared folder, and read from there: lineage ends, and a lost executor costs nothing that was written."""
+    app = df.sparkSession.sparkContext.applicationId
+    if app not in _SCRATCH:
+        _SCRATCH[app] = Scratch(df.sparkSession)
+    return _SCRATCH[app].write(df)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table `name` of `folder`."""
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
