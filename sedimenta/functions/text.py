@@ -1,4 +1,4 @@
-"""Text normalisation as JVM-side column expressions."""
+"""Text functions as JVM-side column expressions."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+#: A word: letters and digits of any script.
+WORD = r"[\p{L}\p{N}]+"
 
 
 def strip(c: Column) -> Column:
@@ -20,3 +22,72 @@ def strip(c: Column) -> Column:
 def is_blank(c: Column) -> Column:
     """True for texts of whitespace alone, the empty text included; null for null."""
     return strip(c) == ""
+
+
+def words(c: Column) -> Column:
+    """The words of a text in lower case, in order, repetitions included."""
+    return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
+
+
+def collapse(c: Column) -> Column:
+    """Runs of ASCII whitespace as one space, none at the ends."""
+    return F.trim(F.regexp_replace(c, r"[ \t\r\n\f\x0B]+", " "))
+
+
+def folded_name(c: Column) -> Column:
+    """A name for comparison: lower case, German umlauts spelt out, words joined by one space."""
+    low = F.lower(c)
+    for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
+        low = F.replace(low, F.lit(a), F.lit(b))
+    return F.array_join(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), " ")
+
+
+def mail_address(c: Column) -> Column:
+    """The address of `Name <address>` or a bare address, its domain in lower case."""
+    bare = F.trim(F.when(c.contains("<"), F.regexp_extract(c, r"<([^>]*)>", 1)).otherwise(c))
+    return F.concat(F.substring_index(bare, "@", 1), F.lit("@"), F.lower(F.substring_index(bare, "@", -1)))
+
+
+def display_name(c: Column) -> Column:
+    """The name of `Name <address>`; null for a bare address."""
+    return F.when(c.contains("<"), F.trim(F.substring_index(c, "<", 1)))
+
+
+def preview(c: Column, size: int = 1024) -> Column:
+    """The first characters of a text."""
+    return F.left(c, F.lit(size))
+
+
+def formula_guard(c: Column) -> Column:
+    """A cell that spreadsheet programs won't take for a formula."""
+    return F.when(c.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), c)).otherwise(c)
+
+
+def stem(c: Column) -> Column:
+    """A word without one of the endings ation, ion, ing, ed, s if four characters or more are left."""
+    out = c
+    for ending in ("s", "ed", "ing", "ion", "ation"):
+        out = F.when(c.endswith(ending) & (F.length(c) >= len(ending) + 4), F.left(c, F.length(c) - len(ending))).otherwise(out)
+    return out
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Similarity of two arrays as sets; null if both are empty."""
+    return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double"))
+
+
+#: Words that restrict or qualify a statement, by category.
+RISK_MARKERS = {
+    "negation": r"\b(not|no|never|nobody|nothing|nicht|kein|keine|nie|niemand)\b",
+    "condition": r"\b(if|unless|provided|falls|wenn|sofern|sobald)\b",
+    "exception": r"\b(except|only|ausser|nur)\b",
+    "date": r"\b(\d{4}-\d{2}-\d{2})\b",
+    "amount": r"\b(\d+ (?:crates|units|days))\b",
+    "scope": r"\b(all|every|any|each|alle|jede|jeder)\b",
+}
+
+
+def marker_counts(c: Column) -> list[Column]:
+    """How often each category of risk marker occurs in a text."""
+    low = F.lower(c)
+    return [F.size(F.regexp_extract_all(low, F.lit(p), F.lit(1))).cast("bigint").alias(n) for n, p in RISK_MARKERS.items()]

@@ -1,10 +1,12 @@
-"""Queries over the test tables, with the SQL they are held against."""
+"""Queries over the test tables, with the SQL they are held against.
 
-from __future__ import annotations
+Each module registers its queries; a query without SQL is one that SQL cannot express, or not over whole tables in bearable time: its operator has a
+test against plain Python instead.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from sedimenta.plans.registry import ORACLE_SQL, QUERIES, query
+from sedimenta.plans import texts  # noqa: E402  (they register their queries)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "query", "texts"]
