@@ -13,7 +13,8 @@ than a container are cut into full containers and a rest, which is an item like
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,11 +57,11 @@ def fill(demands: np.ndarray, limits: np.ndarray) -> np.ndarray:
 
 
 def _pack(limits: np.ndarray):
-    def run(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["item", "piece_no"], kind="stable")
-        at = fill(shard[["n_tokens", "n_segments", "n_loss"]].to_numpy(np.int64), limits)
-        number = (shard["shard"].to_numpy(np.int64) << 32) + at
-        return shard[["item", "piece_no", "token_start", "n_tokens"]].assign(container_id=number)
+    def run(shard: pa.Table) -> pa.Table:
+        shard = shard.take(pc.sort_indices(shard, [("item", "ascending"), ("piece_no", "ascending")]))
+        demands = np.stack([shard.column(c).to_numpy() for c in ("n_tokens", "n_segments", "n_loss")], axis=1)
+        number = (shard.column("shard").to_numpy().astype(np.int64) << 32) + fill(demands, limits)
+        return shard.select(["item", "piece_no", "token_start", "n_tokens"]).append_column("container_id", pa.array(number))
 
     return run
 
@@ -89,7 +90,7 @@ def pack(items: DataFrame, key: str, capacity: int = CAPACITY, segments: int = S
     parts = parts.select("item", "piece_no", "token_start", "n_tokens", F.lit(1).cast("bigint").alias("n_segments"), share.alias("n_loss"))
     shards = max(1, -(-sized.count() // SHARD))
     sharded = parts.withColumn("shard", F.pmod(F.xxhash64("item", "piece_no"), F.lit(shards)))
-    out = sharded.groupBy("shard").applyInPandas(_pack(limits), f"item {kind}, piece_no int, token_start bigint, n_tokens bigint, container_id bigint")
+    out = sharded.groupBy("shard").applyInArrow(_pack(limits), f"item {kind}, piece_no int, token_start bigint, n_tokens bigint, container_id bigint")
     return out.withColumnRenamed("item", key)
 
 

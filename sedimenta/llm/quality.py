@@ -49,6 +49,7 @@ LIKELIHOOD = {
     "short": (0.12, 0.9, 0.3, 0.15),
     "brief": (0.1, 0.75, 0.3, 0.15),
     "broken": (0.12, 0.85, 0.85, 0.3),
+    "ended": (0.45, 0.03, 0.02, 0.05),
     "entry": (0.02, 0.45, 0.25, 0.01),
     "odd": (0.003, 0.003, 0.01, 0.75),
     "noisy": (0.01, 0.08, 0.1, 0.6),
@@ -107,6 +108,7 @@ def line_features(lines: list[str], common: frozenset[str]) -> np.ndarray:
             n <= 6,
             len(bare) <= 45,
             fits and not last,
+            last,
             _ENTRY_END.search(bare) is not None,
             odd >= 0.08 * filled and not border,
             not (cells or border) and len(_SYMBOL.findall(bare)) >= 0.15 * filled,
