@@ -1 +1 @@
-
+"""Files in, tables and reports out."""
