@@ -72,10 +72,11 @@ def phrase_matches(items: DataFrame, phrase: list[str], key: str, text: str = "t
 def literal_hits(items: DataFrame, literal: str, key: str, text: str = "text") -> DataFrame:
     """(`key`, position): each place, counted from 0 in characters, at which the literal stands, overlapping ones included."""
     pieces = F.split(F.col(text), "(?=" + "".join("\\" + c if not c.isalnum() and c.isascii() else c for c in literal) + ")", -1)
-    cut = items.filter(F.col(text).contains(literal)).select(F.col(key), pieces.alias("p"))
+    cut = items.filter(F.col(text).contains(literal)).select(F.col(key), pieces.alias("p"), F.col(text).startswith(literal).alias("_at0"))
     running = F.aggregate("p", F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.length(x))))
-    at = cut.select(key, F.explode(F.arrays_zip(F.col("p").alias("piece"), F.slice(running, 1, F.size("p")).alias("position"))).alias("z"))
-    return at.filter(F.col("z.piece").startswith(literal)).select(key, F.col("z.position").cast("bigint").alias("position"))
+    # Every piece but the first begins at a hit.
+    at = cut.select(key, "_at0", F.explode(F.slice(running, 1, F.size("p"))).alias("position"))
+    return at.filter("position > 0 OR _at0").select(key, F.col("position").cast("bigint").alias("position"))
 
 
 def reciprocal_ranks(hits: DataFrame, key: str, order: list, k: int = 60, by: list[str] | None = None) -> DataFrame:

@@ -33,12 +33,28 @@ MAX_DEPTH, MAX_MEMBERS, MAX_BYTES = 8, 10_000, 256 << 20
 MAGIC = {"pdf": "25504446", "zip": "504B0304", "gzip": "1F8B", "png": "89504E47", "jpeg": "FFD8FF", "bzip2": "425A68", "xz": "FD377A585A00", "rtf": "7B5C727466", "ole": "D0CF11E0A1B11AE1", "7z": "377ABCAF271C"}
 
 
+def _load(spark: SparkSession, root: str) -> DataFrame:
+    """All files below a folder. Spark's reader passes over empty ones, so these are listed by the file system; of them only the paths reach the driver."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    listed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    empty = []
+    while listed.hasNext():
+        f = listed.next()
+        if f.getLen() == 0:
+            empty.append((f.getPath().toString(), f.getModificationTime() / 1000))
+    if not empty:
+        return files
+    rows = spark.createDataFrame(empty, "path string, m double")
+    return files.unionByName(rows.select("path", F.timestamp_seconds("m").alias("modificationTime"), F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content")))
+
+
 def inventory(spark: SparkSession, root: str, excluded: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """(path, name, suffix, length, modified, sha256, status) of all files below a folder.
 
     excluded: shell patterns of names. Files above `limit` bytes keep their row with the status `too large`; empty ones are `empty`.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = _load(spark, root)
     name = F.element_at(F.split("path", "/"), -1)
     files = files.withColumn("name", name)
     for pattern in excluded or []:
@@ -303,7 +319,7 @@ _SECTIONS = "path string, part string, ordinal int, kind string, text string, st
 def sections(spark: SparkSession, root: str, partitions: int | None = None) -> DataFrame:
     """(path, part, ordinal, kind, text, status, warning) of all files below a folder, archives and attachments unpacked."""
     ship(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
+    files = _load(spark, root).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["path", "part", "ordinal", "kind", "text", "status", "warning"]
