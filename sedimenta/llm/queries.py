@@ -70,4 +70,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p2_found, p2_class_links, p2_class_members, p3_found, p4_found, p4_pieces, p5_found, p5_spans, p5_documents, p6_ids, p7_containers, p8_found, p8_statistics)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_SETS = r"""f AS (SELECT DISTINCT member, lower(trim(feature, ' ' || chr(9))) AS f FROM postings WHERE member IS NOT NULL AND trim(feature, ' ' || chr(9)) <> ''),
+n AS (SELECT member, count(*) AS n, array_to_string(list_sort(list(f)), ' ') AS key FROM f GROUP BY 1)"""
+_SIMILAR = f"""{_SETS}, o AS (SELECT a.member AS a, b.member AS b, count(*) AS shared FROM f a JOIN f b ON a.f = b.f AND a.member < b.member GROUP BY ALL),
+s AS (SELECT o.a, o.b FROM o JOIN n x ON x.member = o.a JOIN n y ON y.member = o.b WHERE shared >= 0.75 * (x.n + y.n - shared))"""
+_BLANK = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+ORACLE_SQL: dict[str, str] = {
+    "p2_found": f"WITH {_SIMILAR} SELECT a AS member_a, b AS member_b FROM s",
+    "p2_class_members": f"WITH {_SETS} SELECT member, min(member) OVER (PARTITION BY key) AS rep FROM n",
+    "p2_class_links": f"WITH {_SIMILAR}, r AS (SELECT key, min(member) AS rep FROM n GROUP BY 1) SELECT a AS rep_a, b AS rep_b FROM s WHERE a IN (SELECT rep FROM r) AND b IN (SELECT rep FROM r)",
+    "p3_found": """
+WITH RECURSIVE m AS (SELECT DISTINCT member FROM postings WHERE member IS NOT NULL),
+l AS (SELECT DISTINCT trim(from_node) AS a, trim(to_node) AS b FROM explicit_links WHERE status = 'resolved' AND trim(from_node) <> trim(to_node) AND trim(from_node) IN (FROM m) AND trim(to_node) IN (FROM m)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT a AS member, min(least(a, b)) AS group_id FROM r GROUP BY 1""",
+    "p4_found": rf"""
+WITH s AS (SELECT DISTINCT id, text FROM segments WHERE length(text) > 2000), t AS (SELECT id, regexp_replace(regexp_replace(text, '^{_BLANK}+', ''), '{_BLANK}+$', '') AS t FROM s)
+SELECT id AS segment_id, CASE WHEN regexp_matches(t, '\n{_BLANK}*\n') THEN 'paragraph' WHEN contains(t, chr(10)) THEN 'line' WHEN regexp_matches(t, '[.!?]{_BLANK}') THEN 'sentence' WHEN regexp_matches(t, '{_BLANK}') THEN 'word' ELSE 'none' END AS boundary FROM t""",
+}
