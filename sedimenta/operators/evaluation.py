@@ -42,7 +42,7 @@ def bootstrap_interval(clusters: DataFrame, key: str, value: str, resamples: int
     draws = clusters.sparkSession.range(resamples).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
     digest = F.sha2(F.concat_ws(":", F.lit(seed), "r", "k"), 256)
     drawn = draws.select("r", (F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint") % n).cast("int").alias("i"))
-    means = drawn.join(F.broadcast(numbered), "i").groupBy("r").agg(F.round(F.avg("v"), 9).alias("m"))
+    means = drawn.join(numbered, "i").groupBy("r").agg(F.round(F.avg("v"), 9).alias("m"))
     placed = means.withColumn("p", F.row_number().over(W.orderBy("m")) - 1)
     return placed.agg(F.max(F.when(F.col("p") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("p") == high, F.col("m"))).alias("high"))
 
@@ -57,7 +57,7 @@ def isotonic(rows: DataFrame, score: str, outcome: str) -> DataFrame:
     summed = points.select("score", F.sum("s").over(w).alias("cs"), F.sum("n").over(w).alias("cn"), F.col("s"), F.col("n"))
     lo = summed.select(F.col("score").alias("lo"), (F.col("cs") - F.col("s")).alias("bs"), (F.col("cn") - F.col("n")).alias("bn"))
     hi = summed.select(F.col("score").alias("hi"), F.col("cs").alias("es"), F.col("cn").alias("en"))
-    runs = lo.join(F.broadcast(hi), F.col("lo") <= F.col("hi")).select("lo", "hi", ((F.col("es") - F.col("bs")) / (F.col("en") - F.col("bn"))).alias("mean"))
+    runs = lo.join(hi, F.col("lo") <= F.col("hi")).select("lo", "hi", ((F.col("es") - F.col("bs")) / (F.col("en") - F.col("bn"))).alias("mean"))
     # For each score the largest, over beginnings up to it, of the smallest mean of runs that end at it or later.
     ends = W.partitionBy("lo").orderBy(F.desc("hi"))
     least = runs.withColumn("least", F.min("mean").over(ends)).select("lo", F.col("hi").alias("score"), "least")

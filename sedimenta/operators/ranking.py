@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+#: Queries that are compared with all rows at once.
+QUERY_BLOCK = 10_000
+
 
 def dot(a: Column, b: Column) -> Column:
     """Dot product in double precision."""
@@ -31,13 +36,21 @@ def cosine_search(vectors: DataFrame, query: list[float], key: str, vector: str,
 
 
 def cosine_neighbours(vectors: DataFrame, queries: DataFrame, key: str, vector: str, limit: int) -> DataFrame:
-    """(query_key, `key`, score, rank): for each row of `queries` its nearest others. The queries are the blocks that all rows pass by:
-    they must be few enough to be sent around, which the caller's choice of queries bounds."""
+    """(query_key, `key`, score, rank): for each row of `queries` its nearest others, exactly.
+
+    Queries go against all rows in blocks of about `QUERY_BLOCK`, of which one at a time is sent to the workers: however many there are, what is sent at once has a bound.
+    """
     unit = vectors.select(key, normalised(F.col(vector)).alias("v")).filter("v IS NOT NULL")
     asked = queries.select(F.col(key).alias("query_key"), normalised(F.col(vector)).alias("q")).filter("q IS NOT NULL")
-    scored = unit.crossJoin(F.broadcast(asked)).filter(F.col(key) != F.col("query_key")).select("query_key", key, F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     w = W.partitionBy("query_key").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    found = []
+    for b in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("query_key"), F.lit(blocks)) == b) if blocks > 1 else asked
+        pairs = unit.crossJoin(F.broadcast(block)).filter(F.col(key) != F.col("query_key"))
+        scored = pairs.select("query_key", key, F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
+        found.append(scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit))
+    return reduce(DataFrame.unionByName, found)
 
 
 def fuse(routes: DataFrame, key: str, route: str, order: list, k: int = 60) -> DataFrame:
