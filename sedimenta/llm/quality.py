@@ -35,6 +35,7 @@ _RULE = re.compile(r"[\s|+:=_-]{3,}")
 _GAP = re.compile(r"\s{2,}")
 _SYMBOL = re.compile(r"[^\w\s]|_")
 _ODD = re.compile(r"[^\w\s.,;:!?'\"’‘“”„«»()/|+*&%€$#§–—…•☐-]|_")
+_ESCAPE = re.compile(r"[\\&%=#]")
 _CODE = re.compile(r"[{}\[\]<>=\\^~&%;|]")
 _SENTENCE_END = (".", "!", "?", "…", ":", ";", "。", "！", "？", ".”", '."', ".»")
 _ENTRY_END = re.compile(r"(?:\b[A-Z]{1,6}-?\d{2,}|\b\d+ ?x)$")
@@ -54,6 +55,7 @@ LIKELIHOOD = {
     "odd": (0.003, 0.003, 0.01, 0.75),
     "noisy": (0.01, 0.08, 0.1, 0.6),
     "code": (0.005, 0.005, 0.05, 0.55),
+    "mixed": (0.001, 0.01, 0.02, 0.08),
     "unbroken": (0.003, 0.003, 0.003, 0.3),
     "repeated": (0.002, 0.004, 0.02, 0.3),
     "wordless": (0.01, 0.1, 0.3, 0.7),
@@ -96,7 +98,7 @@ def line_features(lines: list[str], common: frozenset[str]) -> np.ndarray:
         fits = following is not None and len(line.rstrip()) + 1 + len(following) <= width
         last = bare[-1] in ".!?…"
         border = _RULE.fullmatch(bare) is not None
-        cells = cells and not border
+        cells = cells and not border and len(_ESCAPE.findall(bare)) < 0.1 * filled
         odd = len(_ODD.findall(bare))
         code = len(_CODE.findall(bare))
         out[i] = (
@@ -113,6 +115,7 @@ def line_features(lines: list[str], common: frozenset[str]) -> np.ndarray:
             odd >= 0.08 * filled and not border,
             not (cells or border) and len(_SYMBOL.findall(bare)) >= 0.15 * filled,
             not (cells or border) and code >= 0.08 * filled,
+            not cells and 2 * sum(t.isalnum() and not t.isalpha() and not t.isdigit() for t in tokens) >= max(len(tokens), 4),
             not (cells or border) and longest >= 34 and longest * 2 > filled and not bare[:8].lower().startswith(("http", "www.")),
             counts,
             known == 0 and filled >= 30 and not border,
