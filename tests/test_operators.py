@@ -167,3 +167,65 @@ def test_identities(spark):
     rows = [("1", "ann", "a@x"), ("2", "ann", "a@x"), ("3", "ann", "b@x"), ("4", "bob", "a@x"), ("5", "cy", None), ("6", "cy", None), ("7", "cy", "c@x")]
     got = {tuple(r) for r in knowledge.identity_pairs(spark.createDataFrame(rows, "k string, name string, mail string"), "k", "name", ["mail"]).collect()}
     assert got == {("1", "3", "conflicting_attributes"), ("1", "4", "conflicting_attributes"), ("5", "7", "possible_identity")}
+
+
+def test_spans_of_text(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from sedimenta.operators import spans
+
+    @settings(max_examples=150, deadline=None)
+    @given(st.lists(st.sampled_from(["word ", "a. ", "\n", "longerword", "? "]), max_size=80), st.integers(4, 40))
+    def check(pieces, size):
+        text = "".join(pieces)
+        got = spans.boundary_parts(text, size)
+        assert "".join(text[a:b] for a, b in got) == text and all(b - a <= size for a, b in got) and all(a < b for a, b in got[:-1])
+
+    check()
+    assert spans.boundary_parts("one two\nthree four", 12) == [(0, 8), (8, 18)]
+    assert spans.locate("a  quick\nbrown fox", "quick brown") == (3, 14) and spans.locate("abc", "x") is None and spans.locate("abc", " ") is None
+    assert spans.quotation_scopes('Ann Lee said: "It is done." Then „fertig“.') == [(15, 26, "Ann Lee"), (34, 40, None)]
+    assert spans.folded("STRASSE é") == "strasse é" and spans.folded(None) is None
+    df = spark.createDataFrame([(1, "see REF-123 and a@b.ch"), (2, None), (3, "")], "k int, text string")
+    got = spans.pattern_spans(df, "k", {"id": r"REF-\d+", "mail": r"\w+@\w+\.\w+"}).collect()
+    assert {tuple(r) for r in got} == {(1, "id", "REF-123", 4, 11), (1, "mail", "a@b.ch", 16, 22)}
+    assert [tuple(r) for r in spans.parts(df.filter("k = 3"), "k", 9).collect()] == [(3, 0, 0)]
+
+
+def test_streams_and_their_batch_twins(spark):
+    from sedimenta.session import table
+    from sedimenta.streaming import events
+
+    folder = "/root/testdata/sf0.001"
+    batch = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    flow = events.stream(spark, folder, "events.parquet", table(spark, folder, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = lambda df: sorted((tuple(round(x, 4) if isinstance(x, float) else x for x in r) for r in df.collect()), key=repr)
+    for make in (lambda df: events.windowed(df, "ts", ["event_type"], "6 hours", "3650 days", "value"), lambda df: events.sessions(df, "ts", "user_id", "3 hours", "3650 days")):
+        assert rows(events.drain(make(flow), "complete")) == rows(make(batch))
+    assert events.once(batch.unionByName(batch), "ts", ["event_id"], "1 day").count() == batch.count()
+
+
+def test_routes_and_expansion(spark):
+    from sedimenta.operators import retrieval
+
+    rows = [("s1", "d1", 0, "red fox REF-1"), ("s2", "d1", 1, "nothing"), ("s3", "d2", 0, "blue bird"), ("s4", "d3", 0, "red bird"), ("s5", "d4", 0, "")]
+    s = spark.createDataFrame(rows, "id string, document string, ordinal bigint, text string")
+    links = spark.createDataFrame([("d1", "d2"), ("d2", "d1")], "node string, other string")
+    got = {r.id: r.routes for r in retrieval.hybrid(s, links, "find REF-1", ["fox", "red"], ["red fox"], r"REF-\d+").collect()}
+    assert got["s1"] >= 3 and got["s2"] >= 1 and got["s3"] >= 1 and "s5" not in got
+    relevance = spark.createDataFrame([("d1", 0.8), ("d2", 0.2), ("d3", 0.4)], "document string, relevance double")
+    assert {r.document: (r.score, r.reason) for r in retrieval.expansion(relevance, links).collect()} == {"d1": (0.8, "own"), "d2": (0.81, "link"), "d3": (0.4, "own")}
+    assert retrieval.question_terms("Who saw the Red fox?", {"who", "the"}) == ["fox", "red", "saw"]
+
+
+def test_review(spark):
+    log = [("a", 1, 0, "lease"), ("a", 2, 10, "submit"), ("b", 3, 0, "lease"), ("c", 4, 90, "lease"), ("d", 5, 5, "fail")]
+    df = spark.createDataFrame(log, "task string, n int, s int, kind string").withColumn("at", F.timestamp_seconds("s"))
+    got = {r.task: (r.state, r.attempts) for r in review.lease_states(df, "task", "at", "n", "kind", F.timestamp_seconds(F.lit(100)), 60).collect()}
+    assert got == {"a": ("done", 1), "b": ("open", 1), "c": ("leased", 1), "d": ("failed", 0)}
+    pairs = review.paired_schedule(spark.range(20).withColumnRenamed("id", "k"), "k", 2, "s").collect()
+    assert len(pairs) == 80 and all({r.place for r in pairs if (r.k, r.repetition) == key} == {0, 1} for key in {(r.k, r.repetition) for r in pairs})
+    given = spark.createDataFrame([("x",), ("y",), ("z",), (None,)], "k string")
+    used = spark.createDataFrame([("x",), ("y",), ("y",), ("w",), (None,)], "k string")
+    assert {tuple(r) for r in review.covered_once(given, used, "k").collect()} == {("y", 2), ("z", 0), ("w", 1)}
