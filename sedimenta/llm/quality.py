@@ -12,7 +12,6 @@ Rows are handled where they lie, without a shuffle; the list of common words (a
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +33,10 @@ _MARK = re.compile(r"\s*(?:[-*+•‣◦▪–—·☐☑☒✓✔□■►]|\(?
 _RULE = re.compile(r"[\s|+:=_-]{3,}")
 _GAP = re.compile(r"\s{2,}")
 _SYMBOL = re.compile(r"[^\w\s]|_")
-_ODD = re.compile(r"[^\w\s.,;:!?'\"’‘“”„«»()/|+*&%€$#§–—…•☐-]|_")
-_ESCAPE = re.compile(r"[\\&%=#]")
-_CODE = re.compile(r"[{}\[\]<>=\\^~&%;|]")
+#: Symbols as texts have them; others are odd.
+_ORDINARY = frozenset(".,;:!?'\"’‘“”„«»()/|+*&%€$#§–—…•☐-")
+_CODE = frozenset("{}[]<>=\\^~&%;|")
+_ESCAPE = frozenset("\\&%=#")
 _SENTENCE_END = (".", "!", "?", "…", ":", ";", "。", "！", "？", ".”", '."', ".»")
 _ENTRY_END = re.compile(r"(?:\b[A-Z]{1,6}-?\d{2,}|\b\d+ ?x)$")
 
@@ -77,30 +77,39 @@ def _cells(line: str) -> bool:
         if mark in ",;" and line.count(mark + " ") * 2 > n:
             continue
         return max(map(len, cells)) <= 60
-    cells = _GAP.split(line.strip())
+    bare = line.strip()
+    if "  " not in bare and "\t" not in bare:
+        return False
+    cells = _GAP.split(bare)
     return len(cells) >= 2 and max(map(len, cells)) <= (40 if len(cells) >= 3 else 20)
 
 
-def line_features(lines: list[str], common: frozenset[str]) -> np.ndarray:
-    """[lines, statistics] of the non-blank lines of a text, as 0 and 1 in the order of LIKELIHOOD."""
+def line_features(lines: list[str], common: frozenset[str]) -> tuple[np.ndarray, list[int]]:
+    """Of the non-blank lines of a text: [lines, statistics], as 0 and 1 in the order of LIKELIHOOD; and sums over them: words, letters in words,
+    common words, symbols, characters that aren't whitespace."""
     width = max(map(len, lines), default=0)
     out = np.zeros((len(lines), len(LIKELIHOOD)), bool)
+    sums = [0] * 5
     for i, line in enumerate(lines):
         bare = line.strip()
         words = _WORD.findall(bare.lower())
         tokens = bare.split()
-        n, filled = len(words), len(bare) - len(tokens) + 1
-        known = sum(w in common for w in words if len(w) > 1)
-        cells = _cells(line) and known * 3 <= max(n, 3)
+        symbols = _SYMBOL.findall(bare)
+        n, filled, marks = len(words), sum(map(len, tokens)), len(symbols)
+        every = sum(map(common.__contains__, words))
+        known = every - sum(len(w) == 1 and w in common for w in words) if every else 0
+        border = n == 0 and _RULE.fullmatch(bare) is not None
+        cells = not border and known * 3 <= max(n, 3) and _cells(line)
+        odd = code = 0
+        if marks >= 0.08 * filled:
+            odd = sum(c not in _ORDINARY for c in symbols)
+            code = sum(map(_CODE.__contains__, symbols))
+            cells = cells and sum(map(_ESCAPE.__contains__, symbols)) < 0.1 * filled
+        row = cells or border
         longest = max(map(len, tokens))
-        counts = len(tokens) >= 6 and len(set(tokens)) <= 0.3 * len(tokens)
         following = lines[i + 1].split(None, 1)[0] if i + 1 < len(lines) else None
         fits = following is not None and len(line.rstrip()) + 1 + len(following) <= width
         last = bare[-1] in ".!?…"
-        border = _RULE.fullmatch(bare) is not None
-        cells = cells and not border and len(_ESCAPE.findall(bare)) < 0.1 * filled
-        odd = len(_ODD.findall(bare))
-        code = len(_CODE.findall(bare))
         out[i] = (
             _MARK.match(line) is not None,
             cells,
@@ -111,24 +120,21 @@ def line_features(lines: list[str], common: frozenset[str]) -> np.ndarray:
             len(bare) <= 45,
             fits and not last,
             last,
-            _ENTRY_END.search(bare) is not None,
-            odd >= 0.08 * filled and not border,
-            not (cells or border) and len(_SYMBOL.findall(bare)) >= 0.15 * filled,
-            not (cells or border) and code >= 0.08 * filled,
+            _ENTRY_END.search(bare[-24:]) is not None,
+            odd >= 0.08 * filled and not border and odd > 0,
+            not row and marks >= 0.15 * filled,
+            not row and code >= 0.08 * filled and code > 0,
             not cells and 2 * sum(t.isalnum() and not t.isalpha() and not t.isdigit() for t in tokens) >= max(len(tokens), 4),
-            not (cells or border) and longest >= 34 and longest * 2 > filled and not bare[:8].lower().startswith(("http", "www.")),
-            counts,
+            not row and longest >= 34 and longest * 2 > filled and not bare[:8].lower().startswith(("http", "www.")),
+            len(tokens) >= 6 and len(set(tokens)) <= 0.3 * len(tokens),
             known == 0 and filled >= 30 and not border,
         )
-    return out
-
-
-def _texts(texts: list[str | None], common: frozenset[str]) -> tuple[list[list[str]], np.ndarray]:
-    """The non-blank lines of each text, and the states of all of them."""
-    lines = [[x for x in t.split("\n") if x and not x.isspace()] if t else [] for t in texts]
-    seen = np.concatenate([np.zeros((0, len(LIKELIHOOD)), bool), *(line_features(x, common) for x in lines if x)])
-    scores = seen @ (_YES - _NO) + _NO.sum(axis=0)
-    return lines, viterbi(scores, np.array([len(x) for x in lines]), _TRANSITION)
+        sums[0] += n
+        sums[1] += sum(map(len, words))
+        sums[2] += every
+        sums[3] += marks
+        sums[4] += filled
+    return out, sums
 
 
 _COLUMNS = [("n_words", pa.int64()), ("mean_word_length", pa.float64()), ("symbol_ratio", pa.float64()), ("end_punctuation", pa.float64()), ("common_share", pa.float64())] + [
@@ -138,25 +144,22 @@ _COLUMNS = [("n_words", pa.int64()), ("mean_word_length", pa.float64()), ("symbo
 
 def statistics(texts: list[str | None], common: frozenset[str]) -> list[tuple]:
     """The columns after the key of `text_statistics`, of each text."""
-    lines, states = _texts(texts, common)
+    lines = [[x for x in t.split("\n") if x and not x.isspace()] if t else [] for t in texts]
+    found = [line_features(x, common) for x in lines]
+    seen = np.concatenate([np.zeros((0, len(LIKELIHOOD)), bool), *(f for f, _ in found)])
+    states = viterbi(seen @ (_YES - _NO) + _NO.sum(axis=0), np.array([len(x) for x in lines]), _TRANSITION)
     out: list[tuple] = []
     at = 0
-    for text, own in zip(texts, lines, strict=True):
+    for text, own, (_, (n, letters, known, symbols, filled)) in zip(texts, lines, found, strict=True):
         mine = states[at : at + len(own)]
         at += len(own)
         if not own:
             out.append((0, *[None] * 8, None if text is None else "blank"))
             continue
-        words = _WORD.findall(text.lower())
-        letters = sum(map(len, words))
-        spaces = sum(map(text.count, set(re.findall(r"\s", text))))
-        symbols = len(text) - spaces - sum(map(len, re.findall(r"\w+", text)))
-        counted = Counter(words)
-        known = sum(n for w, n in counted.items() if w in common)
         size = np.bincount(mine, weights=[len(x.strip()) for x in own], minlength=len(STATES))
         ended = sum(x.rstrip().endswith(_SENTENCE_END) for x in own)
-        n = len(words)
-        out.append((n, letters / n if n else None, symbols / (len(text) - spaces), ended / len(own), known / n if n else None, *(size / size.sum()).tolist(), STATES[int(size.argmax())]))
+        shares = (size / size.sum()).tolist()
+        out.append((n, letters / n if n else None, symbols / filled, ended / len(own), known / n if n else None, *shares, STATES[int(size.argmax())]))
     return out
 
 
