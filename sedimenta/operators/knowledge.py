@@ -93,6 +93,104 @@ def claims(sentences: DataFrame, key: str, text: str = "text") -> DataFrame:
     return found.select(key, part(1).alias("actor"), part(3).alias("entity"), polarity.alias("polarity"), modality.alias("modality"), F.when(part(4) != "", part(4)).alias("condition"))
 
 
+#: What can be done with what, by predicate: base form, past, participle; then the German participle.
+VERBS = {
+    "approve": ("approve", "approved", "approved", "genehmigt"),
+    "sign": ("sign", "signed", "signed", "unterschrieben"),
+    "pay": ("pay", "paid", "paid", "bezahlt"),
+    "deliver": ("deliver", "delivered", "delivered", "geliefert"),
+    "return": ("return", "returned", "returned", "zurückgegeben"),
+    "cancel": ("cancel", "cancelled", "cancelled", "storniert"),
+}
+_ACTOR = r"([A-Z][\p{L}'-]+(?: [A-Z][\p{L}'-]+)?)"
+_THING = r"(?i:(order|invoice|contract|shipment) ((?:[A-Z]+-)?\d+))"
+_DING = r"(?:[Dd](?:er|ie|as|en) )?(Auftrag|Rechnung|Vertrag|Lieferung) ((?:[A-Z]+-)?\d+)"
+_WHEN = r"(?: on (\d{4}-\d{2}-\d{2}))?"
+_IF = r"(?:,? ((?:only after|only if|if|unless) [^.?!]+))?"
+_FALLS = r"(?:,? ((?:falls|wenn|sofern|erst nachdem) [^.?!]+))?"
+#: Auxiliaries with polarity, modality and the scope of the negation.
+_ACTIVE = (
+    ("", 1, "positive", "asserted", ""),
+    ("did not ", 0, "negative", "asserted", "event"),
+    ("has ", 2, "positive", "asserted", ""),
+    ("has not ", 2, "negative", "asserted", "event"),
+    ("will ", 0, "positive", "planned", ""),
+    ("will not ", 0, "negative", "planned", "event"),
+    ("must ", 0, "positive", "required", ""),
+    ("must not ", 0, "negative", "prohibited", "modality"),
+    ("may ", 0, "positive", "possible", ""),
+    ("may not ", 0, "unresolved", "unresolved", "unresolved"),
+)
+_PASSIVE = (
+    ("was ", "positive", "asserted", ""),
+    ("was not ", "negative", "asserted", "event"),
+    ("will be ", "positive", "planned", ""),
+    ("will not be ", "negative", "planned", "event"),
+    ("must be ", "positive", "required", ""),
+    ("must not be ", "negative", "prohibited", "modality"),
+    ("may be ", "positive", "possible", ""),
+    ("may not be ", "unresolved", "unresolved", "unresolved"),
+)
+_GERMAN = (
+    ("wurde", "", "positive", "asserted", ""),
+    ("wurde nicht", "", "negative", "asserted", "event"),
+    ("muss", " werden", "positive", "required", ""),
+    ("muss nicht", " werden", "unresolved", "not_required", "modality"),
+    ("darf nicht", " werden", "negative", "prohibited", "modality"),
+    ("(?:kann|könnte|soll) nicht", " werden", "unresolved", "unresolved", "unresolved"),
+    ("(?:kann|könnte)", " werden", "positive", "possible", ""),
+    ("wird", " werden", "positive", "planned", ""),
+)
+
+
+def _any(form: int) -> str:
+    return "(" + "|".join(v[form] for v in VERBS.values()) + ")"
+
+
+def _rules() -> list[tuple]:
+    """(pattern, groups of actor, verb, kind, number, day and condition (0: none), polarity, modality, scope, language), in the order they are tried."""
+    out: list[tuple] = []
+    for aux, form, *meaning in _ACTIVE:
+        out.append((f"^{_ACTOR} {aux}{_any(form)} {_THING}{_WHEN}{_IF}\\.$", 1, 2, 3, 4, 5, 6, *meaning, "en"))
+    for aux, *meaning in _PASSIVE:
+        out.append((f"^(?:The )?{_THING} {aux}{_any(2)}(?: by {_ACTOR})?{_WHEN}{_IF}\\.$", 4, 3, 1, 2, 5, 6, *meaning, "en"))
+    for no, polarity, scope in (("", "positive", ""), ("nicht ", "negative", "event")):
+        out.append((f"^{_ACTOR} hat {_DING} {no}{_any(3)}{_FALLS}\\.$", 1, 4, 2, 3, 0, 5, polarity, "asserted", scope, "de"))
+    for aux, tail, *meaning in _GERMAN:
+        out.append((f"^{_DING} {aux}(?: von {_ACTOR})? {_any(3)}{tail}{_FALLS}\\.$", 3, 4, 1, 2, 0, 5, *meaning, "de"))
+    return out
+
+
+#: German kinds of things by their English names.
+_KINDS = {"auftrag": "order", "rechnung": "invoice", "vertrag": "contract", "lieferung": "shipment"}
+_RULE = ("pattern", "actor", "verb", "kind", "number", "day", "condition", "polarity", "modality", "negation_scope", "language")
+
+
+def clause_claims(sentences: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(`key`, actor, predicate, entity, polarity, modality, negation_scope, condition, applicable_on, language) of sentences that are one whole clause.
+
+    The first rule that matches the whole sentence counts. A question makes no claim, nor does one with a day that doesn't exist. What the rules
+    can't settle is `unresolved`, never guessed; what isn't said is null.
+    """
+    c = F.col("_t")
+    rules = _rules()
+    first = F.coalesce(*(F.when(c.rlike(r[0]), i + 1) for i, r in enumerate(rules)))
+    table = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(_RULE, r, strict=True))) for r in rules))
+    matched = sentences.select(key, F.col(text).alias("_t")).filter(~c.contains("?")).withColumn("_i", first).filter("_i IS NOT NULL")
+    ruled = matched.withColumn("_r", F.element_at(table, F.col("_i")))
+    # The rule is chosen once; only its own groups are then read.
+    part = lambda n: F.expr(f"CASE WHEN _r.{n} > 0 THEN nullif(regexp_extract(_t, _r.pattern, _r.{n}), '') END")
+    verbs = F.create_map(*(F.lit(x) for k, forms in VERBS.items() for f in dict.fromkeys(forms) for x in (f, k)))
+    kinds = F.create_map(*(F.lit(x) for pair in (*_KINDS.items(), *((en, en) for en in _KINDS.values())) for x in pair))
+    found = ruled.select(
+        key, part("actor").alias("actor"), F.element_at(verbs, part("verb")).alias("predicate"), F.concat(F.element_at(kinds, F.lower(part("kind"))), F.lit(":"), F.upper(part("number"))).alias("entity"),
+        "_r.polarity", "_r.modality", F.expr("nullif(_r.negation_scope, '')").alias("negation_scope"), part("condition").alias("condition"), part("day").alias("day"), "_r.language",
+    )
+    dated = found.withColumn("applicable_on", F.to_date(F.try_to_timestamp("day", F.lit("yyyy-MM-dd"))))
+    valid = dated.filter("day IS NULL OR applicable_on IS NOT NULL")
+    return valid.select(key, "actor", "predicate", "entity", "polarity", "modality", "negation_scope", "condition", "applicable_on", "language")
+
+
 def conflict_groups(rows: DataFrame, block: list[str], polarity: str, key: str) -> DataFrame:
     """(`block`, members, first): groups of two or more claims about the same that don't agree."""
     grouped = rows.groupBy(*block).agg(F.countDistinct(key).alias("members"), F.countDistinct(polarity).alias("_p"), F.min(key).alias("first"))

@@ -57,6 +57,34 @@ def k6_claims(spark, d):
     return knowledge.claims(_sentences(spark, d), "k")
 
 
+_PACK = (
+    ("Ann Lee signed contract {k}.", "sign", "contract", "positive", "asserted", "en"),
+    ("Invoice {k} must not be paid unless it is checked.", "pay", "invoice", "negative", "prohibited", "en"),
+    ("Shipment {k} may not be delivered.", "deliver", "shipment", "unresolved", "unresolved", "en"),
+    ("Anna hat den Auftrag {k} nicht genehmigt.", "approve", "order", "negative", "asserted", "de"),
+    ("Die Rechnung {k} muss nicht bezahlt werden.", "pay", "invoice", "unresolved", "not_required", "de"),
+    ("Was order {k} approved?", None, None, None, None, None),
+)
+
+
+@query(
+    "WITH o AS (SELECT o_orderkey AS k, o_orderkey % 6 AS r FROM orders) SELECT k, CASE r "
+    + " ".join(f"WHEN {i} THEN '{p}'" for i, (_, p, *_) in enumerate(_PACK) if p) + " END AS predicate, CASE r "
+    + " ".join(f"WHEN {i} THEN '{e}:' || k" for i, (_, _, e, *_) in enumerate(_PACK) if e) + " END AS entity, CASE r "
+    + " ".join(f"WHEN {i} THEN '{x[3]}'" for i, x in enumerate(_PACK) if x[3]) + " END AS polarity, CASE r "
+    + " ".join(f"WHEN {i} THEN '{x[4]}'" for i, x in enumerate(_PACK) if x[4]) + " END AS modality, CASE r "
+    + " ".join(f"WHEN {i} THEN '{x[5]}'" for i, x in enumerate(_PACK) if x[5]) + " END AS language FROM o WHERE r < 5"
+)
+def k6_rule_pack(spark, d):
+    """Claims in two languages, with what stays unresolved."""
+    k, text = F.col("o_orderkey").cast("string"), F.lit(None).cast("string")
+    for i, (t, *_) in enumerate(_PACK):
+        before, after = t.split("{k}")
+        text = F.when(F.col("o_orderkey") % 6 == i, F.concat(F.lit(before), k, F.lit(after))).otherwise(text)
+    s = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), text.alias("text"))
+    return knowledge.clause_claims(s, "k").select("k", "predicate", "entity", "polarity", "modality", "language")
+
+
 @query(f"WITH {_CLAIMS} SELECT actor, entity, count(DISTINCT k) AS members, min(k) AS first FROM c WHERE modality = 'asserted' AND condition IS NULL GROUP BY ALL HAVING count(DISTINCT k) >= 2 AND count(DISTINCT polarity) >= 2")
 def g9_conflict_groups(spark, d):
     """Claims about the same order that don't agree."""

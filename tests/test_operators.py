@@ -130,6 +130,28 @@ def test_claims(spark):
     assert got == {1: ("Alice", "7", "positive", "asserted", None), 2: ("Alice", "7", "negative", "asserted", None), 3: ("Ben Stone", "8", "positive", "possible", "if it rains")}
 
 
+def test_clauses(spark):
+    rows = {
+        "Alice approved order 1847.": ("Alice", "approve", "order:1847", "positive", "asserted", None, None, None),
+        "Alice did not approve order 1847.": ("Alice", "approve", "order:1847", "negative", "asserted", "event", None, None),
+        "Alice will approve order 1847 only after inspection.": ("Alice", "approve", "order:1847", "positive", "planned", None, "only after inspection", None),
+        "Invoice INV-12 must be paid if delivery occurs.": (None, "pay", "invoice:INV-12", "positive", "required", None, "if delivery occurs", None),
+        "Order 1847 may be approved.": (None, "approve", "order:1847", "positive", "possible", None, None, None),
+        "Order 1847 was approved?": None,
+        "Order 1847 was approved on 2026-02-30.": None,
+        "Order 1847 was approved by Ben Stone on 2026-02-03.": ("Ben Stone", "approve", "order:1847", "positive", "asserted", None, None, "2026-02-03"),
+        "They say that Alice approved order 1.": None,
+        "nobody approved order 1.": None,
+        "Ben must not sign contract C-9.": ("Ben", "sign", "contract:C-9", "negative", "prohibited", "modality", None, None),
+        "Der Auftrag 7 darf nicht storniert werden.": (None, "cancel", "order:7", "negative", "prohibited", "modality", None, None),
+        "Die Lieferung 8 kann nicht geliefert werden, falls es regnet.": (None, "deliver", "shipment:8", "unresolved", "unresolved", "unresolved", "falls es regnet", None),
+        "Die Rechnung R-3 wurde von Jörg Müller bezahlt.": ("Jörg Müller", "pay", "invoice:R-3", "positive", "asserted", None, None, None),
+    }
+    df = spark.createDataFrame([*((t,) for t in rows), (None,), ("",)], "t string")
+    got = {r.t: (*tuple(r)[1:8], str(r.applicable_on) if r.applicable_on else None) for r in knowledge.clause_claims(df, "t", "t").collect()}
+    assert got == {t: v for t, v in rows.items() if v}
+
+
 def test_statistics(spark):
     rng = random.Random(5)
     rows = [(round(rng.random(), 1), rng.random() < 0.5) for _ in range(300)]
