@@ -19,6 +19,7 @@ import tarfile
 import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -34,19 +35,15 @@ MAGIC = {"pdf": "25504446", "zip": "504B0304", "gzip": "1F8B", "png": "89504E47"
 
 
 def _load(spark: SparkSession, root: str) -> DataFrame:
-    """All files below a folder. Spark's reader passes over empty ones, so these are listed by the file system; of them only the paths reach the driver."""
+    """All files below a folder. Spark's reader passes over empty ones; the list of files that the driver holds for it has them too."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    listed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
-    empty = []
-    while listed.hasNext():
-        f = listed.next()
-        if f.getLen() == 0:
-            empty.append((f.getPath().toString(), f.getModificationTime() / 1000))
-    if not empty:
-        return files
-    rows = spark.createDataFrame(empty, "path string, m double")
-    return files.unionByName(rows.select("path", F.timestamp_seconds("m").alias("modificationTime"), F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content")))
+    plain = lambda p: re.sub(r"^([a-z0-9]+):/+", r"\1:/", unquote(p))
+    paths = spark.createDataFrame([(plain(p),) for p in files.inputFiles()], "path string")
+    seen = files.select(F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/").alias("path"))
+    empty = paths.join(seen, "path", "left_anti").select(
+        "path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content")
+    )
+    return files.unionByName(empty)
 
 
 def inventory(spark: SparkSession, root: str, excluded: list[str] | None = None, limit: int | None = None) -> DataFrame:
