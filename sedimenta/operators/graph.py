@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sedimenta.session import Scratch
+from sedimenta.session import Scratch, checkpoint
 
 
 def resolve(references: DataFrame, targets: DataFrame, reference: str, name: str, target: str) -> DataFrame:
@@ -31,12 +31,14 @@ def adjacency(edges: DataFrame, source: str, target: str) -> DataFrame:
 
 
 def bounded_search(edges: DataFrame, seeds: DataFrame, depth: int, most: int) -> DataFrame:
-    """(node, depth): nodes within `depth` steps of the seeds, the first `most` by (depth, node). edges: (node, other) in both directions; seeds: (node)."""
-    found = seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("bigint"))
+    """(node, depth): nodes within `depth` steps of the seeds, the first `most` by (depth, node). edges: (node, other) in both directions; seeds: (node).
+
+    Each level is written once, as the next ones and the result all read it."""
+    found = checkpoint(seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("bigint")))
     last = found
     for level in range(1, depth + 1):
         step = last.select("node").join(edges, "node").select(F.col("other").alias("node")).distinct()
-        last = step.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(level).cast("bigint"))
+        last = checkpoint(step.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(level).cast("bigint")))
         found = found.unionByName(last)
     return found.orderBy("depth", "node").limit(most)
 

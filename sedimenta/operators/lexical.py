@@ -43,10 +43,17 @@ def bm25(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Column
     return F.when(idf > 0, idf).otherwise(F.lit(1e-6)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
+def term_hits(items: DataFrame, terms: list[str], key: str, text: str = "text") -> DataFrame:
+    """(`key`, dl, term, tf) of the items that have one of the terms: counted in each item's words, so nothing is exploded that isn't a hit, and nothing shuffled."""
+    split = items.filter(F.col(text).isNotNull()).select(F.col(key), words(F.col(text)).alias("w"))
+    count = lambda t: F.size(F.filter("w", lambda x: x == t)).cast("bigint")
+    counted = F.array(*(F.struct(F.lit(t).alias("term"), count(t).alias("tf")) for t in sorted(set(terms))))
+    return split.select(key, F.size("w").cast("bigint").alias("dl"), F.explode(F.filter(counted, lambda c: c["tf"] > 0)).alias("h")).select(key, "dl", "h.term", "h.tf")
+
+
 def bm25_scores(items: DataFrame, terms: list[str], key: str, text: str = "text") -> DataFrame:
     """(`key`, term, score) of each item that has a term. The statistics are one row, the frequencies as many as there are terms."""
-    index = term_index(items, key, text)
-    hits = index.filter(F.col("term").isin(terms))
+    hits = term_hits(items, terms, key, text)
     stats = corpus_statistics(items, text)
     scored = hits.join(F.broadcast(document_frequency(hits, key)), "term").crossJoin(F.broadcast(stats))
     return scored.select(key, "term", bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("n"), F.col("avgdl")).alias("score"))

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from sedimenta.functions.text import words
 from sedimenta.operators import graph, lexical
+from sedimenta.session import checkpoint
 
 K = 60
 
@@ -68,8 +69,10 @@ def structural_route(segments: DataFrame, ranked: DataFrame, top: int) -> DataFr
 
 def hybrid(segments: DataFrame, links: DataFrame, question: str, terms: list[str], probes: list[str], grammar: str, limit: int = 100, seeds: int = 12, depth: int = 2, most: int = 64, top: int = 32) -> DataFrame:
     """(id, score, routes) over lexical, literal, identifier, graph and structural routes; later routes start from what earlier ones found."""
+    # Routes are short lists that later ones read several times: they are written once.
     first = lexical_route(segments, terms, limit).unionByName(literal_route(segments, probes, limit)).unionByName(identifier_route(segments, question, grammar, limit))
-    second = first.unionByName(graph_route(segments, links, fused(first), seeds, depth, most))
+    first = checkpoint(first)
+    second = first.unionByName(checkpoint(graph_route(segments, links, fused(first), seeds, depth, most)))
     return fused(second.unionByName(structural_route(segments, fused(second), top)))
 
 
