@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sedimenta.session import ship
+
 #: Queries that are compared with all rows at once.
 QUERY_BLOCK = 10_000
 
@@ -79,19 +82,31 @@ def within_budget(ranked: DataFrame, size: Column, budget: int, order: list, by:
     return ranked.withColumn("used", F.sum(size).over(w).cast("bigint")).filter(F.col("used") <= budget)
 
 
-def packed(ranked: DataFrame, key: str, size: str, budget: int, most: int, order: str, by: str) -> DataFrame:
+def packed(ranked: DataFrame, key: str, size: str, budget: int, most: int | None, order: str, by: str) -> DataFrame:
     """(`by`, `key`): of each group, in order, each row that still fits: one that is too large is skipped and later ones are tried.
 
-    A fold over the `most` best rows of a group, so a group's size doesn't matter: they are chosen before they are collected.
+    One pass over the sorted rows of each group that holds what is used so far alone, so a group's size doesn't matter. most: rows of a group that are tried; None for all.
     """
-    w = W.partitionBy(by).orderBy(order)
-    best = ranked.select(by, key, size, F.row_number().over(w).alias("_n")).filter(F.col("_n") <= most)
-    rows = best.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_n", F.col(key).alias("k"), F.col(size).cast("bigint").alias("s")))).alias("r"))
-    none = F.struct(F.lit(0).cast("bigint").alias("used"), F.expr("cast(array() as array<bigint>)").alias("kept"))
-    step = lambda acc, x: F.when(
-        acc["used"] + x["s"] <= budget, F.struct((acc["used"] + x["s"]).alias("used"), F.concat(acc["kept"], F.array(x["k"].cast("bigint"))).alias("kept"))
-    ).otherwise(acc)
-    return rows.select(by, F.explode(F.aggregate("r", none, step)["kept"]).alias(key))
+    ship(ranked.sparkSession)
+    rows = ranked.select(F.col(by).alias("g"), F.col(key).cast("bigint").alias("k"), F.col(size).cast("bigint").alias("s"), F.col(order).alias("o"))
+    if most is not None:
+        rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("g").orderBy("o"))).filter(F.col("_n") <= most)
+
+    def fold(batches):
+        group, used = object(), 0
+        for b in batches:
+            take = []
+            for i, (g, s) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                if g != group:
+                    group, used = g, 0
+                if used + s <= budget:
+                    used += s
+                    take.append(i)
+            yield b.select([0, 1]).take(pa.array(take, pa.int64()))
+
+    turn = rows.filter(F.col("s") <= budget).repartition("g").sortWithinPartitions("g", "o").select("g", "k", "s")
+    schema = rows.select("g", "k").schema
+    return turn.mapInArrow(fold, schema).select(F.col("g").alias(by), F.col("k").alias(key))
 
 
 def hash_sample(items: DataFrame, stratum: str, key: str, seed: str, n: int) -> DataFrame:

@@ -157,7 +157,7 @@ def w10_prefix_budget(spark, d):
 @query()
 def w9_budget_pack(spark, d):
     """Of each source the documents that fit into 6,000 characters, skipping those that are too large."""
-    return ranking.packed(_ranked(spark, d), "doc_id", "n", 6000, 200, "doc_id", "source")
+    return ranking.packed(_ranked(spark, d), "doc_id", "n", 6000, None, "doc_id", "source")
 
 
 @query(

@@ -251,3 +251,17 @@ def test_review(spark):
     given = spark.createDataFrame([("x",), ("y",), ("z",), (None,)], "k string")
     used = spark.createDataFrame([("x",), ("y",), ("y",), ("w",), (None,)], "k string")
     assert {tuple(r) for r in review.covered_once(given, used, "k").collect()} == {("y", 2), ("z", 0), ("w", 1)}
+
+
+def test_budget_packing_tries_all_rows_of_a_group(spark):
+    rows = [("a", i, 60 if i else 50) for i in range(300)] + [("a", 300, 50), ("a", 301, 1), ("b", 1, 101), ("b", 2, None), ("b", 3, 100), (None, 4, 7)]
+    got = {tuple(r) for r in ranking.packed(spark.createDataFrame(rows, "g string, i bigint, s bigint"), "i", "s", 100, None, "i", "g").collect()}
+    assert got == {("a", 0), ("a", 300), ("b", 3), (None, 4)}
+
+
+def test_budget_pack_query_loses_no_document_of_a_large_source(spark, monkeypatch):
+    from sedimenta.plans import ranking as plans
+
+    rows = [(i, "s", 4000) for i in range(300)] + [(300, "s", 2000)]
+    monkeypatch.setattr(plans, "_ranked", lambda s, d: s.createDataFrame(rows, "doc_id bigint, source string, n bigint"))
+    assert {r.doc_id for r in plans.w9_budget_pack(spark, "").collect()} == {0, 300}
