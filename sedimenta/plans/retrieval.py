@@ -144,6 +144,16 @@ def j24_unprotected_points(spark, d):
     return folds.outside(points, spans, "k", "at", "a", "b")
 
 
+@query("""WITH s AS (SELECT DISTINCT document_version_id AS k, CAST(char_start AS BIGINT) AS a, CAST(char_end AS BIGINT) AS b FROM segments WHERE document_version_id IS NOT NULL AND char_end > char_start),
+p AS (SELECT k, unnest(range(0, n, 500)) AS "at" FROM (SELECT document_version_id AS k, CAST(max(char_end) AS BIGINT) AS n FROM segments WHERE document_version_id IS NOT NULL GROUP BY 1)) SELECT k, "at" FROM p ANTI JOIN s ON p.k = s.k AND p."at" >= s.a AND p."at" < s.b""")
+def j24_all_unprotected_points(spark, d):
+    """Positions up to the end of each document outside all its segments."""
+    s = table(spark, d, "segments").filter("document_version_id IS NOT NULL").select(F.col("document_version_id").alias("k"), F.col("char_start").cast("bigint").alias("a"), F.col("char_end").cast("bigint").alias("b"))
+    ends = s.groupBy("k").agg(F.max("b").alias("n")).filter("n > 0")
+    points = ends.select("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(500).cast("bigint"))).alias("at"))
+    return folds.outside(points, s.filter("b > a").distinct(), "k", "at", "a", "b")
+
+
 @query("""WITH m AS (SELECT round(value / 10, 0) AS score, count(*) / 1000.0::DOUBLE AS rate FROM events WHERE event_id % 2 = 0 GROUP BY 1), e AS (SELECT event_id, value / 10 AS s FROM events WHERE event_id % 50 = 1)
 SELECT event_id, round((SELECT arg_min(rate, score) FROM m WHERE score >= s AND s >= (SELECT min(score) FROM m)), 6) AS rate FROM e""")
 def j25_calibrated_scores(spark, d):
@@ -153,6 +163,15 @@ def j25_calibrated_scores(spark, d):
     return folds.calibrated(e.filter("event_id % 50 = 1").select("event_id", (F.col("value") / 10).alias("s")), model, "s").select("event_id", F.round("rate", 6).alias("rate"))
 
 
+@query("""WITH m AS (SELECT round(value / 10, 0) AS score, count(*) / 1000.0::DOUBLE AS rate FROM events WHERE event_id % 2 = 0 GROUP BY 1), e AS (SELECT event_id, value / 10 AS s FROM events)
+SELECT event_id, round(CASE WHEN s >= (SELECT min(score) FROM m) THEN rate END, 6) AS rate FROM e ASOF LEFT JOIN m ON e.s <= m.score""")
+def j25_all_calibrated_scores(spark, d):
+    """All scores with the rate of the next one fitted to every second event."""
+    e = table(spark, d, "events")
+    model = e.filter("event_id % 2 = 0").groupBy(F.round(F.col("value") / 10, 0).alias("score")).agg((F.count("*") / 1000.0).alias("rate"))
+    return folds.calibrated(e.select("event_id", (F.col("value") / 10).alias("s")), model, "s").select("event_id", F.round("rate", 6).alias("rate"))
+
+
 @query("SELECT o_orderpriority AS stratum, count(*) AS population, count(*) FILTER (o_orderkey % 10 = 0) AS sample, CAST(ceil(count(*) / nullif(count(*) FILTER (o_orderkey % 10 = 0), 0)) AS BIGINT) AS break_even FROM orders GROUP BY 1")
 def a9_strata(spark, d):
     """Population and sample of each stratum, and after how many queries a set-up pays."""
