@@ -73,6 +73,18 @@ def t29_citation_choices(spark, d):
     return asked.join(c, "choice", "left").select("choice", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.col("doc_id").isNull().alias("rejected"))
 
 
+@query("""WITH b AS (SELECT doc_id, unnest(range(0, length(text), 500)) AS s, text FROM documents WHERE text IS NOT NULL AND length(text) > 0), c AS (SELECT sha256(doc_id || ':' || s || ':' || substring(text, s + 1, 500)) AS choice, doc_id, s FROM b),
+a AS (SELECT choice FROM c UNION ALL SELECT sha256('unknown ' || doc_id) FROM documents) SELECT a.choice, coalesce(doc_id, -1) AS doc_id, coalesce(s, -1) AS char_start, doc_id IS NULL AS rejected FROM a LEFT JOIN c ON a.choice = c.choice""")
+def t29_all_citation_choices(spark, d):
+    """Citations of all parts of each document resolved by their hashes, and an unknown one of each, rejected."""
+    docs = table(spark, d, "documents")
+    parts = segments.fixed_parts(docs.filter("text != ''"), "doc_id", 500)
+    c = parts.select(F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("char_start").cast("string"), F.lit(":"), F.col("part")), 256).alias("choice"), "doc_id", "char_start")
+    asked = c.select("choice").unionByName(docs.select(F.sha2(F.concat(F.lit("unknown "), F.col("doc_id").cast("string")), 256).alias("choice")))
+    found = asked.join(c, "choice", "left")
+    return found.select("choice", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.coalesce("char_start", F.lit(-1)).cast("bigint").alias("char_start"), F.col("doc_id").isNull().alias("rejected"))
+
+
 @query("SELECT trim(from_node) AS node, relation_type, count(DISTINCT trim(to_node)) AS neighbours FROM explicit_links WHERE status = 'resolved' AND relation_type IN ('POSSIBLE_REPRODUCTION', 'ATTACHMENT_OF') AND from_node IS NOT NULL GROUP BY ALL")
 def g4_neighbours_by_type(spark, d):
     """How many neighbours of chosen kinds each node has."""

@@ -34,3 +34,9 @@ def test_every_event_is_calibrated(spark):
     rows = pq.read_table(f"{FOLDER}/events.parquet", columns=["event_id"]).to_pylist()
     got = [r.event_id for r in plans.QUERIES["j25_all_calibrated_scores"](spark, FOLDER).collect()]
     assert sorted(got) == sorted(r["event_id"] for r in rows)
+
+
+def test_citations_of_all_parts_are_resolved(spark):
+    rows = pq.read_table(f"{FOLDER}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    want = sorted([(r["doc_id"], s, False) for r in rows for s in range(0, len(r["text"] or ""), 500)] + [(-1, -1, True) for _ in rows])
+    assert sorted((r.doc_id, r.char_start, r.rejected) for r in plans.QUERIES["t29_all_citation_choices"](spark, FOLDER).collect()) == want
