@@ -107,6 +107,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return _SCRATCH[app].write(df)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete what `checkpoint` wrote for these tables; nothing may read them any more. Others go when the application ends."""
+    for df in tables:
+        scratch = _SCRATCH.get(df.sparkSession.sparkContext.applicationId)
+        if scratch:
+            scratch.discard(df)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table `name` of `folder`."""
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
