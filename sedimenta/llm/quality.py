@@ -3,8 +3,8 @@
 Each non-blank line is a step, its state prose, list, table or junk. What is observed of a line are yes/no statistics (an enumeration mark, cells
 between delimiters, common words, odd symbols, repeated words, whether a wrapped line would have taken the next word, ...); a state gives each
 a probability, and neighbouring lines tend to have the same state. The likeliest path labels the lines, and a document has the shape that
-most of its characters have. The probabilities are fixed parameters, not fitted to a corpus, so a document's shape depends on nothing
-but its text and the list of common words.
+most of its characters have. The probabilities are fitted to the corpus: starting from rough ones (`START`), the lines of at most `SAMPLE` documents
+are labelled and the probabilities counted again, with the rough ones as a prior, until the labels stay (Viterbi training).
 
 Rows are handled where they lie, without a shuffle; the list of common words (a fixed table) is sent to the workers.
 """
@@ -25,6 +25,10 @@ from sedimenta.session import ship
 STATES = ("prose", "list", "table", "junk")
 #: Probability that a line has the state of the line before.
 STAY = 0.9
+#: Most documents the model is fitted to, drawn by a hash of key and text; longer ones than so many characters aren't drawn.
+SAMPLE, LONGEST = 1000, 50_000
+#: Lines that the rough probabilities count for, and rounds of fitting at most.
+PRIOR, ROUNDS = 400.0, 10
 #: Most rows of the table of common words, which is sent to each worker.
 MAX_COMMON = 100_000
 
@@ -38,10 +42,10 @@ _ORDINARY = frozenset(".,;:!?'\"’‘“”„«»()/|+*&%€$#§–—…•
 _CODE = frozenset("{}[]<>=\\^~&%;|")
 _ESCAPE = frozenset("\\&%=#")
 _SENTENCE_END = (".", "!", "?", "…", ":", ";", "。", "！", "？", ".”", '."', ".»")
-_ENTRY_END = re.compile(r"(?:\b[A-Z]{1,6}-?\d{2,}|\b\d+ ?x)$")
+_ENTRY_END = re.compile(r"(?:(?<!\S)[^\s\d]*\d+[^\s.]*|\d ?x)$")
 
-#: Of each state, the probability of each statistic; in the order of STATES.
-LIKELIHOOD = {
+#: Of each state, a rough probability of each statistic; in the order of STATES.
+START = {
     "mark": (0.02, 0.6, 0.03, 0.01),
     "cells": (0.01, 0.01, 0.95, 0.03),
     "border": (0.005, 0.005, 0.15, 0.02),
@@ -60,8 +64,6 @@ LIKELIHOOD = {
     "repeated": (0.002, 0.004, 0.02, 0.3),
     "wordless": (0.01, 0.1, 0.3, 0.7),
 }
-_YES = np.log(np.array(list(LIKELIHOOD.values())))
-_NO = np.log1p(-np.array(list(LIKELIHOOD.values())))
 _TRANSITION = np.log(np.where(np.eye(len(STATES), dtype=bool), STAY, (1 - STAY) / (len(STATES) - 1)))
 
 
@@ -85,10 +87,10 @@ def _cells(line: str) -> bool:
 
 
 def line_features(lines: list[str], common: frozenset[str]) -> tuple[np.ndarray, list[int]]:
-    """Of the non-blank lines of a text: [lines, statistics], as 0 and 1 in the order of LIKELIHOOD; and sums over them: words, letters in words,
+    """Of the non-blank lines of a text: [lines, statistics], as 0 and 1 in the order of START; and sums over them: words, letters in words,
     common words, symbols, characters that aren't whitespace."""
     width = max(map(len, lines), default=0)
-    out = np.zeros((len(lines), len(LIKELIHOOD)), bool)
+    out = np.zeros((len(lines), len(START)), bool)
     sums = [0] * 5
     for i, line in enumerate(lines):
         bare = line.strip()
@@ -110,16 +112,18 @@ def line_features(lines: list[str], common: frozenset[str]) -> tuple[np.ndarray,
         following = lines[i + 1].split(None, 1)[0] if i + 1 < len(lines) else None
         fits = following is not None and len(line.rstrip()) + 1 + len(following) <= width
         last = bare[-1] in ".!?…"
+        # What an entry says may well be sentences: that it is marked counts, not how it reads.
+        marked = _MARK.match(line) is not None
         out[i] = (
-            _MARK.match(line) is not None,
+            marked,
             cells,
             border,
-            n > 0 and known >= 0.12 * n and (n >= 4 or known * 2 >= n),
-            n >= 7 and known >= 0.1 * n,
-            n <= 6,
-            len(bare) <= 45,
-            fits and not last,
-            last,
+            not marked and n > 0 and known >= 0.12 * n and (n >= 4 or known * 2 >= n),
+            not marked and n >= 7 and known >= 0.1 * n,
+            marked or n <= 6,
+            marked or len(bare) <= 45,
+            (marked or fits) and not last,
+            last and not marked,
             _ENTRY_END.search(bare[-24:]) is not None,
             odd >= 0.08 * filled and not border and odd > 0,
             not row and marks >= 0.15 * filled,
@@ -142,12 +146,38 @@ _COLUMNS = [("n_words", pa.int64()), ("mean_word_length", pa.float64()), ("symbo
 ] + [("shape", pa.string())]
 
 
-def statistics(texts: list[str | None], common: frozenset[str]) -> list[tuple]:
+def _start() -> np.ndarray:
+    return np.array(list(START.values()))
+
+
+def _scores(seen: np.ndarray, likelihood: np.ndarray) -> np.ndarray:
+    yes, no = np.log(likelihood), np.log1p(-likelihood)
+    return seen @ (yes - no) + no.sum(axis=0)
+
+
+def fit(texts: list[str], common: frozenset[str]) -> np.ndarray:
+    """[statistics, states]: the probabilities fitted to the lines of texts; without texts the rough ones."""
+    lines = [[x for x in t.split("\n") if x and not x.isspace()] for t in texts]
+    seen = np.concatenate([np.zeros((0, len(START)), bool), *(line_features(x, common)[0] for x in lines)])
+    lengths = np.array([len(x) for x in lines], np.int64)
+    prior = likelihood = _start()
+    labels = None
+    for _ in range(ROUNDS if len(seen) else 0):
+        before, labels = labels, viterbi(_scores(seen, likelihood), lengths, _TRANSITION)
+        if before is not None and (before == labels).all():
+            break
+        is_state = labels[:, None] == np.arange(len(STATES))
+        likelihood = (seen.T.astype(float) @ is_state + prior * PRIOR) / (is_state.sum(axis=0) + PRIOR)
+    return likelihood
+
+
+def statistics(texts: list[str | None], common: frozenset[str], likelihood: np.ndarray | None = None) -> list[tuple]:
     """The columns after the key of `text_statistics`, of each text."""
+    likelihood = _start() if likelihood is None else likelihood
     lines = [[x for x in t.split("\n") if x and not x.isspace()] if t else [] for t in texts]
     found = [line_features(x, common) for x in lines]
-    seen = np.concatenate([np.zeros((0, len(LIKELIHOOD)), bool), *(f for f, _ in found)])
-    states = viterbi(seen @ (_YES - _NO) + _NO.sum(axis=0), np.array([len(x) for x in lines]), _TRANSITION)
+    seen = np.concatenate([np.zeros((0, len(START)), bool), *(f for f, _ in found)])
+    states = viterbi(_scores(seen, likelihood), np.array([len(x) for x in lines]), _TRANSITION)
     out: list[tuple] = []
     at = 0
     for text, own, (_, (n, letters, known, symbols, filled)) in zip(texts, lines, found, strict=True):
@@ -171,6 +201,14 @@ def common_words(words: DataFrame) -> frozenset[str]:
     return frozenset(r.word for r in rows)
 
 
+def sample(documents: DataFrame, key: str, text: str, n: int = SAMPLE) -> list[str]:
+    """At most `n` texts, drawn by a hash: the same ones whatever the partitions."""
+    usable = documents.filter(F.col(text).isNotNull() & (F.length(text) <= LONGEST)).select(F.col(text).alias("_text"), F.xxhash64(key, text).alias("_drawn"))
+    total = documents.count()
+    drawn = usable.filter(F.col("_drawn") / F.lit(2.0**63) < -1 + 4.0 * n / max(total, 1))
+    return [r["_text"] for r in drawn.orderBy("_drawn", "_text").limit(n).select("_text").collect()]
+
+
 def text_statistics(documents: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each row: `key`, n_words, mean_word_length, symbol_ratio (symbols among non-space characters), end_punctuation (share of non-blank lines),
     common_share (of words), the shares of characters in prose, list, table and junk lines, and shape: the largest of these.
@@ -179,14 +217,15 @@ def text_statistics(documents: DataFrame, words: DataFrame, key: str = "doc_id",
     the first in the order prose, list, table, junk counts. Repeated rows are kept.
     """
     ship(documents.sparkSession)
-    shared = documents.sparkSession.sparkContext.broadcast(common_words(words))
+    common = common_words(words)
+    shared = documents.sparkSession.sparkContext.broadcast((common, fit(sample(documents, key, text), common)))
     source = documents.select(F.col(key), F.col(text).alias("_text"))
     names = [key, *(n for n, _ in _COLUMNS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
-                rows = statistics(part.column(1).to_pylist(), shared.value)
+                rows = statistics(part.column(1).to_pylist(), *shared.value)
                 columns = [pa.array(list(c), t) for c, (_, t) in zip(zip(*rows, strict=True), _COLUMNS, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=names)
 

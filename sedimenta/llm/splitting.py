@@ -1,9 +1,10 @@
 """Splitting of oversized texts at natural boundaries, by structure-tree packing.
 
-A text is a tree: sections (from a heading to the next), paragraphs (between blank lines), list entries and other lines, sentences,
-words, code points. Sibling subtrees are merged from the left while they fit into a piece, and only a node that doesn't fit
-by itself is descended into; its last part may be merged with the sibling that follows it. Each piece after the first begins
-with the last `overlap` code points of the one before, so it has that much less room for new text.
+A text is parsed into a tree: sections nested by the level of their headings (`#`, numbers, `<h1>` to `<h6>`), blocks of markup nested by their tags,
+paragraphs, list entries nested by their indents, lines; below a line its sentences, words and code points. Packing goes bottom-up: a node within the limit stays
+whole; of an oversized node the children are packed, and neighbours among what they give are merged as long as they fit. So only
+oversized nodes are descended into, and a piece is a run of sibling subtrees wherever there is one. Each piece after the first begins
+with the last `overlap` code points of the one before, so nodes are packed to the limit less the overlap.
 
 Texts are handled row by row in Arrow batches, in time proportional to their length; no shuffle but that which drops repeated rows.
 """
@@ -11,7 +12,8 @@ Texts are handled row by row in Arrow batches, in time proportional to their len
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,79 +24,170 @@ from sedimenta.session import ship
 LIMIT, OVERLAP = 2000, 150
 #: Boundaries from coarse to fine; a section also begins at a heading that no blank line precedes.
 KINDS = ("section", "paragraph", "line", "sentence", "word", "none")
-_HEADING = re.compile(r"^[ \t]*(?:#{1,6}[ \t]+\S|§[ \t]*\d|(?:\d+\.)+\d*[ \t]+\S[^\n.]{0,80}$|<h[1-6]\b)", re.M)
-#: A line break, blank lines after it, and the line ends' carriage returns, which belong to them.
-_PARAGRAPH = re.compile(r"\n(?:[^\S\n]*\n)+")
+#: Nodes of one kind that are nested at most; what is nested deeper stands beside the deepest.
+DEEPEST = 50
+
+_HASHES = re.compile(r"[ \t]*(#{1,6})[ \t]+\S")
+_NUMBERED = re.compile(r"[ \t]*(?:§[ \t]*)?((?:\d+\.)+\d*|(?<=§)[ \t]*\d+)[ \t]+\S[^\n.]{0,80}\s*$")
+_TITLE_TAG = re.compile(r"[ \t]*<h([1-6])\b", re.I)
+_OPENS = re.compile(r"[ \t]*<(section|article|div|ul|ol|li|table|tr|blockquote|p|body)\b[^>]*>", re.I)
+_CLOSES = re.compile(r"</(section|article|div|ul|ol|li|table|tr|blockquote|p|body)>", re.I)
+_ENTRY = re.compile(r"([ \t]*)(?:[-*+•‣◦▪–·]|\(?(?:\d{1,3}|[A-Za-z]|[ivxlcIVXLC]{1,6})[.)])[ \t]+\S")
 _SENTENCE = re.compile(r"[.!?]\s+")
 _WORD = re.compile(r"\s+")
 
 
-def _sections(text: str, start: int, end: int) -> list[int]:
-    return [m.start() for m in _HEADING.finditer(text, start, end) if m.start() > start]
-
-
-def _ends(pattern: re.Pattern) -> Callable[[str, int, int], list[int]]:
-    return lambda text, start, end: [m.end() for m in pattern.finditer(text, start, end) if start < m.end() < end]
-
-
-#: For each kind but the last, where a node's children begin, the first excepted.
-_CUTS: tuple[Callable[[str, int, int], list[int]], ...] = (_sections, _ends(_PARAGRAPH), _ends(re.compile(r"\n")), _ends(_SENTENCE), _ends(_WORD))
-
-
-def coarsest(text: str) -> str:
-    """The coarsest boundary inside a text, leading and trailing whitespace aside: paragraph, line, sentence, word or none."""
-    inner = text.strip()
-    for kind, pattern in (("paragraph", _PARAGRAPH), ("line", re.compile("\n")), ("sentence", _SENTENCE), ("word", _WORD)):
-        if pattern.search(inner):
+@dataclass(slots=True)
+class Node:
+    """A part [start, end) of a text. kind: section, block, paragraph, entry, line, or what a line is made of; gap: the boundary before it, of KINDS; depth: level or indent among nodes of its kind."""
+
+    kind: str
+    start: int
+    gap: str
+    depth: int = 0
+    end: int = 0
+    children: list[Node] = field(default_factory=list)
+
+
+def _heading(line: str) -> int:
+    """The level of a heading, from 1; 0 for another line."""
+    if m := _HASHES.match(line):
+        return len(m[1])
+    if m := _TITLE_TAG.match(line):
+        return int(m[1])
+    if m := _NUMBERED.match(line):
+        return min(1 + m[1].strip().strip(".").count("."), 6)
+    return 0
+
+
+def tree(text: str) -> Node:
+    """The structure tree of a text, down to its lines. Blank lines belong to the line before them, at the beginning to the one after."""
+    root = Node("section", 0, "none")
+    path = [root]
+
+    def close(keep) -> None:
+        while len(path) > 1 and not keep(path[-1]):
+            path.pop()
+
+    def add(kind: str, depth: int = 0) -> Node:
+        node = Node(kind, start, gap if kind != "section" else "section", depth)
+        path[-1].children.append(node)
+        return node
+
+    at, start, gap, lines = 0, 0, "none", 0
+    for line in text.split("\n"):
+        here, at = at, at + len(line) + 1
+        if not line or line.isspace():
+            gap = "paragraph" if lines else "none"
+            continue
+        start = here if lines else 0
+        lines += 1
+        level, entry = _heading(line), _ENTRY.match(line)
+        if level and not (entry and gap == "line"):
+            close(lambda n: n.kind == "section" and n.depth < level)
+            path.append(add("section", level))
+            add("line")
+        else:
+            if gap == "paragraph":
+                close(lambda n: n.kind in ("section", "block"))
+            opened = _OPENS.match(line)
+            nested = sum(n.kind == "block" for n in path)
+            if opened and nested < DEEPEST and f"</{opened[1].lower()}>" not in line.lower():
+                close(lambda n: n.kind in ("section", "block"))
+                path.append(add("block", nested))
+                add("line")
+            else:
+                if path[-1].kind in ("section", "block"):
+                    path.append(add("paragraph"))
+                indent = len(entry[1].expandtabs(4)) if entry else len(line.expandtabs(4)) - len(line.expandtabs(4).lstrip())
+                close(lambda n: n.kind != "entry" or n.depth < indent)
+                if entry and sum(n.kind == "entry" for n in path) < DEEPEST:
+                    path.append(add("entry", indent))
+                add("line")
+            for _ in _CLOSES.findall(line) if "</" in line else ():
+                if any(n.kind == "block" for n in path) and not (opened and f"</{opened[1].lower()}>" in line.lower()):
+                    close(lambda n: n.kind == "block")
+                    path.pop()
+        gap = "line"
+    _finish(root, len(text))
+    return root
+
+
+def _finish(root: Node, end: int) -> None:
+    """Set the ends of all nodes: where the next one begins."""
+    todo = [(root, end)]
+    while todo:
+        node, end = todo.pop()
+        node.end = end
+        for i, child in enumerate(node.children):
+            todo.append((child, node.children[i + 1].start if i + 1 < len(node.children) else end))
+
+
+def _parts(text: str, node: Node) -> list[Node]:
+    """The children of a node; of a line its sentences, of a sentence its words, made when they are asked for."""
+    if node.children or node.kind not in ("line", "sentence"):
+        return node.children
+    kind, pattern = ("sentence", _SENTENCE) if node.kind == "line" else ("word", _WORD)
+    starts = [node.start, *(m.end() for m in pattern.finditer(text, node.start, node.end) if node.start < m.end() < node.end)]
+    parts = [Node(kind, a, kind, 0, b) for a, b in zip(starts, [*starts[1:], node.end], strict=True)]
+    parts[0].gap = node.gap
+    return parts
+
+
+def boundary(text: str, root: Node) -> str:
+    """The coarsest boundary inside the text, leading and trailing whitespace aside, by its tree: paragraph, line, sentence, word or none."""
+    kinds, todo, lines = set(), [root], []
+    while todo:
+        node = todo.pop()
+        todo.extend(node.children)
+        if node.kind == "line":
+            lines.append(node)
+            kinds.add(node.gap)
+    for kind in ("paragraph", "line"):
+        if kind in kinds:
             return kind
+    if lines:
+        inner = text.strip()
+        only = Node("line", 0, "none", 0, len(inner))
+        sentences = _parts(inner, only)
+        if len(sentences) > 1:
+            return "sentence"
+        if len(_parts(inner, sentences[0])) > 1:
+            return "word"
     return "none"
 
 
-def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, str]]:
-    """Where new pieces begin, with the kind of boundary there; empty if the text is within the limit."""
-    out: list[tuple[int, str]] = []
-    begin = 0  # of the new text of the piece that is being filled
-
-    def room() -> int:
-        return begin + limit - (overlap if out else 0)
-
-    def place(start: int, end: int, depth: int, arrived: str) -> None:
-        """Put [start, end) into the open piece, or close that at `start`; arrived: the kind of boundary at `start`."""
-        nonlocal begin
-        if end <= room():
-            return
-        if start > begin and end - start <= limit - overlap:
-            out.append((start, arrived))
-            begin = start
-            return
-        if depth == len(_CUTS):
-            if start > begin and room() < start + (limit - overlap) // 2 < end:
-                out.append((start, arrived))
-                begin = start
-            while end > room():
-                at = room()
-                out.append((at, KINDS[-1]))
-                begin = at
-            return
-        inner = _CUTS[depth](text, start, end)
-        if not inner:
-            place(start, end, depth + 1, arrived)
-            return
-        at = start
-        for i, stop in enumerate([*inner, end]):
-            place(at, stop, depth + 1, arrived if i == 0 else KINDS[depth])
-            at = stop
-
-    if len(text) > limit:
-        place(0, len(text), 0, KINDS[-1])
-    return out
-
-
-def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
+def _packed(text: str, node: Node, most: int, used: int = 0) -> list[tuple[int, int, str]]:
+    """(start, end, boundary before it) of the runs of nodes below `node` that fit into `most` code points, merged bottom-up; of the first run's room, `used` is taken.
+
+    An oversized node begins a run of its own, so what it is about isn't torn off; a heading stays with the beginning of what it is above.
+    """
+    if node.end - node.start <= most:
+        return [(node.start, node.end, node.gap)]
+    parts = _parts(text, node)
+    if not parts:
+        cuts = [node.start, *range(node.start + most - used, node.end, most)]
+        return [(c, end, "none" if i else node.gap) for i, (c, end) in enumerate(zip(cuts, [*cuts[1:], node.end], strict=True))]
+    merged: list[tuple[int, int, str]] = []
+    for i, part in enumerate(parts):
+        whole = part.end - part.start <= most
+        titled = i == 1 and node.kind == "section" and node.depth > 0
+        taken = used if i == 0 else merged[0][1] - merged[0][0] + used if titled and len(merged) == 1 else 0
+        for k, (start, end, gap) in enumerate(_packed(text, part, most, taken)):
+            room = most - (used if len(merged) == 1 else 0)
+            if merged and (whole or k or titled) and end - merged[-1][0] <= room:
+                merged[-1] = (merged[-1][0], end, merged[-1][2])
+            else:
+                merged.append((start, end, gap if merged else node.gap))
+    return merged
+
+
+def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP, root: Node | None = None) -> list[tuple[int, int, str]]:
     """(start, end, kind of boundary at the end) of each piece; the last one's kind is `end`."""
-    at = cuts(text, limit, overlap)
-    starts = [0, *(max(0, p - overlap) for p, _ in at)]
-    return list(zip(starts, [*(p for p, _ in at), len(text)], [*(k for _, k in at), "end"], strict=True))
+    runs = [(0, len(text), "none")] if len(text) <= limit else _packed(text, root or tree(text), limit - overlap)
+    if len(runs) > 1 and runs[1][1] <= limit:  # the first piece has no overlap
+        runs[:2] = [(0, runs[1][1], "none")]
+    return [(max(0, start - overlap) if i else 0, end, runs[i + 1][2] if i + 1 < len(runs) else "end") for i, (start, end, _) in enumerate(runs)]
 
 
 _PIECES = pa.schema(
@@ -107,8 +200,9 @@ def _split(limit: int, overlap: int):
         for b in batches:
             rows: list[tuple] = []
             for key, text, start in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                kind = coarsest(text)
-                for n, (lo, hi, cut) in enumerate(pieces(text, limit, overlap)):
+                root = tree(text)
+                kind = boundary(text, root)
+                for n, (lo, hi, cut) in enumerate(pieces(text, limit, overlap, root)):
                     rows.append((key, n, None if start is None else start + lo, None if start is None else start + hi, text[lo:hi], cut, kind))
             columns = zip(*rows, strict=True) if rows else [[] for _ in _PIECES]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _PIECES, strict=True)], schema=_PIECES)
@@ -135,3 +229,28 @@ def split_segments(segments: DataFrame, limit: int = LIMIT, overlap: int = OVERL
 def oversized_boundaries(segments: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """(segment_id, boundary) of each segment over the limit, from its pieces."""
     return split_segments(segments, limit, overlap).filter("piece_no = 0").select("segment_id", "boundary")
+
+
+def piece_checks(segments: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(segment_id, covered, too_long, wrong_overlap, wrong_text): of each segment over the limit, the code points that its pieces cover without a gap, and how many pieces break a rule."""
+    parts = split_segments(segments, limit, overlap)
+    start = F.coalesce(F.try_element_at("locators", F.lit(1))["start"], F.col("char_start")).cast("bigint")
+    large = segments.filter(F.char_length("text") > limit).select(F.col("id").alias("segment_id"), F.col("text").alias("whole"), F.coalesce(start, F.lit(0)).alias("base")).distinct()
+    size = F.char_length("text").cast("bigint")
+    listed = F.array_sort(F.collect_list(F.struct("piece_no", "char_start", "char_end", size.alias("size"), "text", "cut")))
+    by = parts.withColumns({"char_start": F.coalesce("char_start", F.lit(0)), "char_end": F.coalesce("char_end", size)}).groupBy("segment_id").agg(listed.alias("p"))
+    both = by.join(large, "segment_id")
+    # Texts are compared at their own places: each piece where the one before it ends, less the overlap.
+    step = F.aggregate(
+        "p",
+        F.struct(F.lit(0).cast("bigint").alias("end"), F.lit("").alias("last"), F.lit(0).alias("bad"), F.lit(0).alias("off")),
+        lambda a, x: F.struct(
+            (a["end"] + x["size"] - F.when(x["piece_no"] > 0, overlap).otherwise(0)).cast("bigint").alias("end"),
+            x["text"].alias("last"),
+            (a["bad"] + F.when((x["piece_no"] > 0) & (F.right(a["last"], F.lit(overlap)) != F.substring(x["text"], 1, overlap)), 1).otherwise(0)).alias("bad"),
+            (a["off"] + F.when(F.substr("whole", (a["end"] + 1 - F.when(x["piece_no"] > 0, overlap).otherwise(0)).cast("int"), x["size"].cast("int")) != x["text"], 1).otherwise(0)).alias("off"),
+        ),
+    )
+    return both.select("segment_id", "p", step.alias("s")).select(
+        "segment_id", F.col("s.end").alias("covered"), F.size(F.filter("p", lambda x: x["size"] > limit)).alias("too_long"), F.col("s.bad").alias("wrong_overlap"), F.col("s.off").alias("wrong_text")
+    )

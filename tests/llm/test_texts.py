@@ -45,7 +45,39 @@ def test_cuts_are_at_the_coarsest_boundaries():
     [("\n\n a b. c\n", "sentence"), ("a\n \t\nb", "paragraph"), ("a\r\n\r\nb", "paragraph"), ("a\nb. c", "line"), ("a.b c", "word"), ("  abc\n\n", "none"), ("", "none"), ("a\rb", "word")],
 )
 def test_coarsest_boundary(text, kind):
-    assert splitting.coarsest(text) == kind
+    assert splitting.boundary(text, splitting.tree(text)) == kind
+
+
+def shape(node):
+    return (node.kind, [shape(c) for c in node.children]) if node.children else node.kind
+
+
+def test_tree_of_headings_lists_and_markup():
+    text = "# a\nx\n## b\n- one\n  more\n  - inner\n- two\n\n# c\n<ul>\n<li>p</li>\n<li>q</li>\n</ul>\nlast\n"
+    b = ("section", ["line", ("paragraph", [("entry", ["line", "line", ("entry", ["line"])]), ("entry", ["line"])])])
+    a = ("section", ["line", ("paragraph", ["line"]), b])
+    c = ("section", ["line", ("block", ["line", ("paragraph", ["line", "line", "line"])]), ("paragraph", ["line"])])
+    root = splitting.tree(text)
+    assert shape(root) == ("section", [a, c])
+    assert [(n.start, n.end) for n in root.children] == [(0, text.index("# c")), (text.index("# c"), len(text))]
+
+
+def test_siblings_are_merged_bottom_up_and_only_oversized_nodes_are_parted():
+    parts = [f"## {i}\n" + "word. " * n + "\n" for i, n in enumerate((40, 40, 40, 700, 20, 20))]
+    text = "# all\n" + "".join(parts)
+    found = check_pieces(text)
+    ends = [e for _, e, _ in found]
+    begins = [text.index(p) for p in parts]
+    assert begins[3] in ends and found[0][2] == "section"  # three small sections stay together, before the large one
+    assert {k for *_, k in found[1:-1]} == {"sentence"} and not any(b in ends for b in (*begins[:3], begins[5]))
+    deep = "\n".join(" " * i + "- x" for i in range(3000))
+    check_pieces(deep)
+
+
+def test_piece_checks(spark):
+    long = "Some words here. " * 300
+    df = spark.createDataFrame([("a", "d", long, 5, 9, None), ("b", "d", "x\n" * 1500, None, None, None), ("c", "d", "y", 0, 1, None)], SEGMENT)
+    assert {tuple(r) for r in splitting.piece_checks(df).collect()} == {("a", len(long), 0, 0, 0), ("b", 3000, 0, 0, 0)}
 
 
 def test_split_segments(spark):
@@ -172,6 +204,7 @@ COMMON = frozenset("the of and to in is was that for it with as on by at be this
         ("this is the story of a house that was built\non the hill and it was not a small one but\nthey were happy in it for many years to come", "prose"),
         ("- milk\n- bread\n- a pound of butter\n- eggs, 12 x", "list"),
         ("survey sketch\nwater reading: AX-2211\nclaim register 12 x\nlease annex\nrepair estimate, REF-99102", "list"),
+        ("- This is the story of a house that was built on the hill.\n- They were not happy in it for many years.\n* It was not theirs, and they had to be there.", "list"),
         ("day;qty;ref\n2031-01-02;12;AX-1\n2031-01-03;13;AX-2\n", "table"),
         ("| a | b |\n|---|---|\n| 12 | x |\n| 13 | y |", "table"),
         ("qty   lot     site\n12    AX-1    north\n13    AX-2    south", "table"),
@@ -187,6 +220,16 @@ def test_shapes(text, shape):
     assert quality.statistics([text], COMMON)[0][-1] == shape
 
 
+def test_fitting_keeps_what_is_plain_and_learns_the_rest():
+    prose = "This is the story of a house that was built on the hill, and it was not a small one."
+    texts = [prose, "- milk\n- bread\n- eggs, 12 x", "day;qty;ref\n2031-01-02;12;AX-1\n2031-01-03;13;AX-2\n", "print " * 80, ""] * 40
+    fitted = quality.fit(texts, COMMON)
+    assert [x[-1] for x in quality.statistics(texts[:5], COMMON, fitted)] == ["prose", "list", "table", "junk", "blank"]
+    names = list(quality.START)
+    assert fitted.shape == (len(names), 4) and fitted[names.index("mark"), 1] > 0.5 > fitted[names.index("mark"), 0] and ((0 < fitted) & (fitted < 1)).all()
+    assert (quality.fit([], COMMON) == np.array(list(quality.START.values()))).all()
+
+
 def test_text_statistics(spark):
     rows = [(1, "The cat sat.\n\nIt was on the mat; (12)"), (1, "The cat sat.\n\nIt was on the mat; (12)"), (2, None), (3, " \n"), (None, "It was the cat."), (4, "word " * 100_000)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS n_words", "2 AS shape")
