@@ -42,21 +42,39 @@ def least_overlap(total: int, threshold: float) -> int:
     return math.ceil(round(total * threshold / (1 + threshold), 9))
 
 
-def segments_for(total: int, threshold: float) -> int:
-    """Segments of which one differs in two bits at most, by sets of `total` features together; rounded up to 1, 2, 3, 4, 6, 8, 12, 16, ..."""
-    need = (total - 2 * least_overlap(total, threshold)) // 3 + 1
+def _rounded(need: int) -> int:
+    """`need` rounded up to 1, 2, 3, 4, 6, 8, 12, 16, ..."""
     step = 1
     while step < need:
         step = step + 1 if step < 3 else 1 << step.bit_length() if step & (step - 1) else step * 3 // 2
     return step
 
 
+def _differ(total: int, threshold: float) -> int:
+    """Features in which sets of `total` features together may differ."""
+    return total - 2 * least_overlap(total, threshold)
+
+
+def segments_for(total: int, threshold: float) -> int:
+    """Segments of which one differs in two bits at most, by sets of `total` features together."""
+    return _rounded(_differ(total, threshold) // 3 + 1)
+
+
 @cache
 def levels(size: int, threshold: float) -> tuple[int, ...]:
-    """The numbers of segments with which a set of this size can meet a partner."""
-    low, high = math.ceil(round(size * threshold, 9)), math.floor(round(size / threshold, 9))
-    ends = range(size + low, size + high + 1)
-    return tuple(sorted({segments_for(t, threshold) for t in (ends if len(ends) < 500 else ends[:: len(ends) // 250])} | {segments_for(size + high, threshold)}))
+    """The numbers of segments with which a set of this size can meet a partner: those of all totals from the least partner to the largest.
+
+    From one total to the next the features that may differ change by one, up or down, so they take all values between their least and
+    their greatest. They lie less than two below a straight line, so these extremes are near the ends.
+    """
+    least, most = size + math.ceil(round(size * threshold, 9)), size + math.floor(round(size / threshold, 9))
+    near = math.ceil(2 * (1 + threshold) / (1 - threshold)) + 1 if threshold < 1 else 1
+    low = min(_differ(t, threshold) for t in range(least, min(most, least + near) + 1))
+    high = max(_differ(t, threshold) for t in range(max(least, most - near), most + 1))
+    found = [_rounded(low // 3 + 1)]
+    while found[-1] < high // 3 + 1:
+        found.append(_rounded(found[-1] + 1))
+    return tuple(found)
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:

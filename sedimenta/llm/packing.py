@@ -94,6 +94,37 @@ def pack(items: DataFrame, key: str, capacity: int = CAPACITY, segments: int = S
     return out.withColumnRenamed("item", key)
 
 
+#: Limits of containers for instruction data: segments, and loss-bearing tokens.
+FEW_SEGMENTS, LOSS = 6, 1536
+
+
+def instruction_sizes(documents: DataFrame, ranks: str = RANK_FILE) -> DataFrame:
+    """(doc_id, n_tokens, n_loss): a document read as a prompt, its first line, and the answer to it, whose tokens bear loss. A document of one line has no prompt, but nothing predicts its first token."""
+    parts = documents.select("doc_id", "text", F.substring_index("text", "\n", 1).alias("prompt"))
+    both = parts.select("doc_id", F.explode(F.array(F.struct(F.lit("all").alias("part"), "text"), F.struct(F.lit("prompt").alias("part"), F.col("prompt").alias("text")))).alias("x"))
+    of = token_counts(both.select(F.struct("doc_id", "x.part").alias("key"), "x.text"), "key", "text", ranks)
+    one = F.col("key.part") == "prompt"
+    sizes = of.groupBy("key.doc_id").agg(F.sum(F.when(~one, F.col("n_tokens"))).alias("n_tokens"), F.sum(F.when(one, F.col("n_tokens"))).alias("prompt"))
+    return sizes.select("doc_id", "n_tokens", (F.col("n_tokens") - F.when(F.col("prompt") < F.col("n_tokens"), F.col("prompt")).otherwise(1)).alias("n_loss"))
+
+
+def pack_instructions(documents: DataFrame, capacity: int = CAPACITY, segments: int = FEW_SEGMENTS, loss: int = LOSS, ranks: str = RANK_FILE) -> DataFrame:
+    """`pack` of documents as instruction data, under all three limits: (doc_id, piece_no, token_start, n_tokens, container_id)."""
+    return pack(instruction_sizes(documents, ranks), "doc_id", capacity, segments, loss)
+
+
+def pack_checks(documents: DataFrame, capacity: int = CAPACITY, segments: int = SEGMENTS, ranks: str = RANK_FILE) -> DataFrame:
+    """One row about `pack_documents`: documents placed, containers over a limit, documents cut though they fit, documents whose pieces leave a gap or overlap."""
+    placed = checkpoint(pack_documents(documents, capacity, segments, ranks))
+    of = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("m"))
+    over = of.agg(F.count(F.when((F.col("n") > capacity) | (F.col("m") > segments), 1)).alias("over_limits"))
+    ends = F.max(F.col("token_start") + F.col("n_tokens"))
+    items = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("size"), F.count("*").alias("pieces"), ends.alias("end"), F.min("token_start").alias("begin"), F.countDistinct("token_start").alias("starts"))
+    gaps = (F.col("begin") != 0) | (F.col("end") != F.col("size")) | (F.col("starts") != F.col("pieces"))
+    cut = (F.col("pieces") > 1) & (F.col("size") <= capacity)
+    return items.agg(F.count("*").alias("placed"), F.count(F.when(cut, 1)).alias("cut_needlessly"), F.count(F.when(gaps, 1)).alias("with_gaps")).crossJoin(over)
+
+
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, segments: int = SEGMENTS, ranks: str = RANK_FILE) -> DataFrame:
     """`pack` of the texts of documents, sized in tokens of the tokenizer: (doc_id, piece_no, token_start, n_tokens, container_id)."""
     return pack(token_counts(documents, "doc_id", "text", ranks), "doc_id", capacity, segments)

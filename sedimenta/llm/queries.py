@@ -62,6 +62,14 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+def p7_instructions(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_instructions(table(spark, folder, "documents"))
+
+
+def p7_checks(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_checks(table(spark, folder, "documents"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return quality.unnatural(table(spark, folder, "documents"), table(spark, folder, "common_words"))
 
@@ -77,7 +85,7 @@ def p8_line_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_class_links, p2_class_members, p3_found, p4_found, p4_pieces, p4_piece_checks, p5_found, p5_spans, p5_documents, p6_ids, p7_containers, p8_found, p8_statistics, p8_line_shares)
+    f.__name__: f for f in (p1_found, p2_found, p2_class_links, p2_class_members, p3_found, p4_found, p4_pieces, p4_piece_checks, p5_found, p5_spans, p5_documents, p6_ids, p7_containers, p7_instructions, p7_checks, p8_found, p8_statistics, p8_line_shares)
 }
 
 _SETS = r"""f AS (SELECT DISTINCT member, lower(trim(feature, ' ' || chr(9))) AS f FROM postings WHERE member IS NOT NULL AND trim(feature, ' ' || chr(9)) <> ''),
@@ -88,6 +96,7 @@ _BLANK = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\
 
 ORACLE_SQL: dict[str, str] = {
     "p4_piece_checks": "SELECT DISTINCT id AS segment_id, length(text) AS covered, 0 AS too_long, 0 AS wrong_overlap, 0 AS wrong_text FROM segments WHERE length(text) > 2000",
+    "p7_checks": "SELECT count(*) AS placed, 0 AS cut_needlessly, 0 AS with_gaps, 0 AS over_limits FROM documents WHERE text <> ''",
     "p8_statistics": rf"""
 WITH d AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{Nl}}\p{{No}}]+') AS w, length(regexp_replace(text, '{_BLANK}', '', 'g')) AS filled,
 length(regexp_replace(text, '[\p{{L}}\p{{N}}]|{_BLANK}', '', 'g')) AS symbols, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '{_BLANK}+$', '')), lambda x: x <> '') AS lines FROM documents),

@@ -37,6 +37,15 @@ def test_segments_suffice_for_the_pigeonhole(threshold):
             assert m in neardup.levels(b, threshold) or b < a * threshold or a < b * threshold
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.6, 0.75, 0.8, 0.9])
+def test_levels_are_those_of_all_totals(threshold):
+    import math
+
+    for size in (*range(1, 300), 999, 1000, 4321):
+        totals = range(size + math.ceil(round(size * threshold, 9)), size + math.floor(round(size / threshold, 9)) + 1)
+        assert set(neardup.levels(size, threshold)) == {neardup.segments_for(t, threshold) for t in totals}
+
+
 def brute(rows, threshold):
     sets = {}
     for feature, member in rows:

@@ -169,6 +169,24 @@ def test_pack(spark):
         assert sum(r.n_tokens for r in tight if r.container_id == c) <= 20
 
 
+def test_all_three_limits_bind(spark):
+    rows = [(i, "p " * 40 + "\n" + "word " * (50 + i % 7 * 30)) for i in range(400)] + [(400 + i, "tiny") for i in range(300)] + [(900, "say " * 700), (901, None), (902, "")]
+    df = spark.createDataFrame(rows, "doc_id int, text string").selectExpr("*", "1 AS piece_no")
+    sizes = {r.doc_id: (r.n_tokens, r.n_loss) for r in packing.instruction_sizes(df).collect()}
+    got = packing.pack_instructions(df, 1000, 5, 600).collect()
+    inside = {}
+    for r in got:
+        n, loss = sizes[r.doc_id]
+        assert r.n_tokens == n or r.doc_id == 900
+        now = inside.setdefault(r.container_id, [0, 0, 0])
+        for k, x in enumerate((r.n_tokens, 1, loss if r.n_tokens == n else r.n_tokens)):
+            now[k] += x
+    assert {r.doc_id for r in got} == {r[0] for r in rows if r[1]} and all(a <= 1000 and b <= 5 and c <= 600 for a, b, c in inside.values())
+    # Each limit leaves room in the other two somewhere.
+    assert any(b == 5 and a < 900 and c < 500 for a, b, c in inside.values()) and any(c > 500 and b < 5 and a < 950 for a, b, c in inside.values())
+    assert [tuple(r) for r in packing.pack_checks(df).collect()] == [(701, 0, 0, 0)]
+
+
 # Hidden Markov models
 
 
@@ -289,3 +307,21 @@ def test_list_entries_and_addresses_are_no_sentences():
     assert all(len(language._WORD.findall(" ".join(p for _, p in s))) < 8 for s in language.sentences("1. one of the two\n2. three of the four\n3. five of the six\nx@y.z of the and to in is was that"[:60]))
     assert len(language.sentences("a b c\n\nd e f. g h")) == 3
     assert random and datetime
+
+
+@pytest.mark.parametrize(
+    ("word", "script"),
+    [("straße", "Latin"), ("aujourd'hui", "Latin"), ("слово", "Cyrillic"), ("λόγος", "Greek"), ("שלום", "Hebrew"), ("كلمة", "Arabic"), ("शब्द", "Devanagari"), ("คำ", "Thai"), ("단어", "Hangul"), ("文字です", "Kana"), ("文字", "Han"), ("ᚠᚢ", "other"), ("xслово", "Cyrillic")],
+)
+def test_scripts(word, script):
+    assert language.SCRIPTS[language.script_of(word)][0] == script
+
+
+def test_scripts_narrow_the_candidates():
+    common = {x: frozenset(WORDS[x]) for x in WORDS} | {"ru": frozenset("и в не на что он с как это по но из".split())}
+    model = language.fit(list(SENTENCES.values()) * 5, common)
+    assert np.argmax(model.score("неизвестное")) == model.languages.index("ru") and model.score("letter")[model.languages.index("ru")] == -language.MOST
+    text = f"{SENTENCES['en']} Это письмо не было в папке на столе и он это знал. Η επιστολή δεν ήταν εδώ. {SENTENCES['de']}"
+    found = language.spans([text, "手紙はありませんでした。", None], model)
+    assert [x[0] for x in found[0]] == ["en", "ru", "el", "de"] and [x[0] for x in found[1]] == ["ja"] and found[2] == []
+    assert all(0 <= x[5] <= 1 for x in found[0]) and text[found[0][2][1] : found[0][2][2]].startswith("Η") and found[0][2][4] == 0
