@@ -71,23 +71,41 @@ def stem(c: Column) -> Column:
     return out
 
 
+def canonical_json(row: Column) -> Column:
+    """A struct as JSON without spaces, nulls included. Its fields come in the struct's order, so a canonical form needs them sorted by name."""
+    return F.to_json(row, {"ignoreNullFields": "false"})
+
+
+def relative_path(uri: Column, root: str) -> Column:
+    """The path below `root` that a file URI names, percent signs decoded; null for other URIs and for paths that lead out of it."""
+    prefix = f"file://{root.rstrip('/')}/"
+    path = F.url_decode(F.replace(F.substring(uri, len(prefix) + 1, 1 << 20), F.lit("+"), F.lit("%2B")))
+    return F.when(uri.startswith(prefix) & ~F.arrays_overlap(F.split(path, "/"), F.array(F.lit(".."), F.lit(""))), path)
+
+
+def day_relation(day: Column, event: Column, required: Column | None = None) -> Column:
+    """How a day stands to that of an event: same, before or after; unknown if one of them isn't known, not_required where none is asked for."""
+    out = F.when(day.isNull() | event.isNull(), "unknown").when(day == event, "same").when(day < event, "before").otherwise("after")
+    return out if required is None else F.when(~required, "not_required").otherwise(out)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two arrays as sets; null if both are empty."""
     return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double"))
 
 
-#: Words that restrict or qualify a statement, by category.
+#: English and German patterns of what restricts or qualifies a statement, by category.
 RISK_MARKERS = {
-    "negation": r"\b(not|no|never|nobody|nothing|nicht|kein|keine|nie|niemand)\b",
-    "condition": r"\b(if|unless|provided|falls|wenn|sofern|sobald)\b",
-    "exception": r"\b(except|only|ausser|nur)\b",
-    "date": r"\b(\d{4}-\d{2}-\d{2})\b",
-    "amount": r"\b(\d+ (?:crates|units|days))\b",
-    "scope": r"\b(all|every|any|each|alle|jede|jeder)\b",
+    "negation": r"\b(?:not|no|never|neither|without|nicht|kein\w*|ohne)\b",
+    "condition": r"\b(?:if|unless|provided|subject to|wenn|sofern|falls)\b",
+    "exception": r"\b(?:except|excluding|however|but|ausser|außer|jedoch)\b",
+    "date": r"\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{2,4}|before|after|until|deadline|bis|vor|nach)\b",
+    "amount": r"(?:\b(?:chf|eur|usd)\s*\d[\d.,'’]*|[$€£]\s*\d[\d.,]*|\b\d+(?:[.,]\d+)?\s*%)",
+    "scope": r"\b(?:only|all|each|any|solely|limited|must|shall|nur|alle|muss)\b",
 }
 
 
 def marker_counts(c: Column) -> list[Column]:
     """How often each category of risk marker occurs in a text."""
     low = F.lower(c)
-    return [F.size(F.regexp_extract_all(low, F.lit(p), F.lit(1))).cast("bigint").alias(n) for n, p in RISK_MARKERS.items()]
+    return [F.size(F.regexp_extract_all(low, F.lit(p), F.lit(0))).cast("bigint").alias(n) for n, p in RISK_MARKERS.items()]

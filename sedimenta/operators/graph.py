@@ -30,8 +30,8 @@ def adjacency(edges: DataFrame, source: str, target: str) -> DataFrame:
     return out.unionByName(back).filter("node IS NOT NULL AND other IS NOT NULL")
 
 
-def bounded_search(edges: DataFrame, seeds: DataFrame, depth: int, most: int) -> DataFrame:
-    """(node, depth): nodes within `depth` steps of the seeds, the first `most` by (depth, node). edges: (node, other) in both directions; seeds: (node).
+def levels(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(node, depth): all nodes within `depth` steps of the seeds. edges: (node, other) in both directions; seeds: (node).
 
     Each level is written once, as the next ones and the result all read it."""
     found = checkpoint(seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("bigint")))
@@ -40,33 +40,57 @@ def bounded_search(edges: DataFrame, seeds: DataFrame, depth: int, most: int) ->
         step = last.select("node").join(edges, "node").select(F.col("other").alias("node")).distinct()
         last = checkpoint(step.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(level).cast("bigint")))
         found = found.unionByName(last)
-    return found.orderBy("depth", "node").limit(most)
+    return found
+
+
+def bounded_search(edges: DataFrame, seeds: DataFrame, depth: int, most: int) -> DataFrame:
+    """(node, depth): of the nodes within `depth` steps of the seeds the first `most` by (depth, node)."""
+    return levels(edges, seeds, depth).orderBy("depth", "node").limit(most)
 
 
 def closure(parents: DataFrame, seeds: DataFrame, child: str, parent: str) -> DataFrame:
-    """(node): seeds and everything derived from them, directly or not. Rounds end when nothing is new; each is written to the checkpoint folder."""
+    """(node): seeds and everything derived from them, directly or not. Rounds end when nothing is new; what is new in each is written once, to the checkpoint folder."""
     scratch = Scratch(seeds.sparkSession)
-    links = parents.select(F.col(parent).alias("node"), F.col(child).alias("next")).filter("node IS NOT NULL AND next IS NOT NULL").distinct()
-    found = scratch.write(seeds.select("node").filter("node IS NOT NULL").distinct())
-    fresh = found
+    links = scratch.write(parents.select(F.col(parent).alias("node"), F.col(child).alias("next")).filter("node IS NOT NULL AND next IS NOT NULL").distinct())
+    fresh = found = scratch.write(seeds.select("node").filter("node IS NOT NULL").distinct())
     while True:
         fresh = scratch.write(fresh.join(links, "node").select(F.col("next").alias("node")).distinct().join(found, "node", "left_anti"))
         if fresh.isEmpty():
             return found
-        found = scratch.write(found.unionByName(fresh))
+        found = found.unionByName(fresh)
+
+
+#: How much a shared feature of a kind says; explicit links come before all of them (0), other kinds after them (3).
+TIERS = {"identifier": 1, "original_blob": 1, "message_id": 1, "document_reference": 1, "paragraph": 2}
 
 
-def shared_features(occurrences: DataFrame, item: str, feature: str, most: int) -> DataFrame:
-    """(left, right, shared, weight): items with common features that at most `most` items have, with how many and the sum of ln(1 + N / df).
+def related(occurrences: DataFrame, links: DataFrame, asked: DataFrame) -> DataFrame:
+    """(asked, other, tier, rank, shared, linked): for each asked item all others that have a feature in common with it or are linked with it.
 
-    Features above `most` link everything with everything and say nothing; they are left out by definition, as in related-document search.
+    occurrences: (item, kind, feature); links: (node, other), both directions; asked: (item). rank: sum of ln(1 + N / df) over the distinct shared features; tier:
+    0 for linked ones, else that of the best kind. However common a feature is, nothing is left out: the search goes out from the asked items alone, so the work is that of
+    the postings of their features, not of all pairs.
     """
-    rows = occurrences.select(F.col(item).alias("item"), F.col(feature).alias("feature")).filter("item IS NOT NULL AND feature IS NOT NULL").distinct()
+    rows = occurrences.select("item", "kind", "feature").filter("item IS NOT NULL AND feature IS NOT NULL").distinct()
     n = rows.agg(F.countDistinct("item").alias("n"))
-    df = rows.groupBy("feature").agg(F.count("*").alias("df")).filter((F.col("df") > 1) & (F.col("df") <= most)).crossJoin(F.broadcast(n))
-    kept = rows.join(df.select("feature", F.log1p(F.col("n") / F.col("df")).alias("w")), "feature")
-    pairs = kept.select("feature", "w", F.col("item").alias("left")).join(kept.select("feature", F.col("item").alias("right")), "feature").filter(F.col("left") < F.col("right"))
-    return pairs.groupBy("left", "right").agg(F.count("*").alias("shared"), F.round(F.sum("w"), 6).alias("weight"))
+    mine = asked.select("item").distinct().join(rows, "item").select(F.col("item").alias("asked"), "kind", "feature")
+    df = rows.join(mine.select("kind", "feature").distinct(), ["kind", "feature"]).groupBy("kind", "feature").agg(F.count("*").alias("df"))
+    weighted = mine.join(df, ["kind", "feature"]).crossJoin(F.broadcast(n)).select("asked", "kind", "feature", F.log1p(F.col("n") / F.col("df")).alias("w"))
+    tier = F.lit(3)
+    for kind, t in TIERS.items():
+        tier = F.when(F.col("kind") == kind, t).otherwise(tier)
+    shared = rows.withColumnRenamed("item", "other").join(weighted, ["kind", "feature"]).filter("other != asked")
+    by_feature = shared.groupBy("asked", "other").agg(F.min(tier).alias("tier"), F.round(F.sum("w"), 6).alias("rank"), F.count("*").alias("shared"))
+    direct = asked.select(F.col("item").alias("asked")).distinct().join(links.select(F.col("node").alias("asked"), "other").distinct(), "asked").filter("other != asked").withColumn("linked", F.lit(True))
+    both = by_feature.join(direct, ["asked", "other"], "full")
+    linked = F.coalesce("linked", F.lit(False))
+    return both.select("asked", "other", F.when(linked, 0).otherwise(F.col("tier")).cast("bigint").alias("tier"), F.coalesce("rank", F.lit(0.0)).alias("rank"), F.coalesce("shared", F.lit(0)).cast("bigint").alias("shared"), linked.alias("linked"))
+
+
+def shared_by(occurrences: DataFrame, left, right, item: str, feature: str) -> DataFrame:
+    """(`feature`): what two items have in common; both are filtered before anything is joined."""
+    of = lambda k: occurrences.filter(F.col(item) == F.lit(k)).select(feature).filter(F.col(feature).isNotNull()).distinct()
+    return of(left).join(of(right), feature)
 
 
 def capped_view(nodes: DataFrame, edges: DataFrame, key: str, source: str, target: str, most: int) -> DataFrame:
@@ -82,19 +106,30 @@ def latest(rows: DataFrame, by: list[str], order: list[str], columns: list[str])
     return rows.groupBy(*by).agg(chosen).select(*by, "r.*")
 
 
-def interval_conflicts(claims: DataFrame, block: list[str], key: str, start: str, end: str, opposite: Column) -> DataFrame:
+def interval_conflicts(claims: DataFrame, block: list[str], key: str, start: str, end: str, opposite: Column, width: int = 32) -> DataFrame:
     """(left, right, overlap_start, overlap_end, boundary): claims of one block that contradict each other while both hold; an open end never ends.
 
-    opposite: the condition on the columns l.* and r.* of the two claims. Nulls of a block are equal.
+    opposite: the condition on the columns l.* and r.* of the two claims. Nulls of a block are equal. Claims meet by block and by stretches of `width` days in which they hold: each
+    is put into the stretch it begins in, and looks for those that begin later in all it holds in up to the last beginning, so claims of a crowded block that are far apart are never paired.
     """
-    left, right = claims.alias("l"), claims.alias("r")
-    on = F.col(f"l.{key}") < F.col(f"r.{key}")
+    last = F.coalesce(F.col(end), F.lit("9999-12-31").cast("date"))
+    rows = claims.withColumns({"_s": F.col(start).cast("date"), "_e": last}).filter("_s IS NOT NULL AND _s <= _e")
+    # Nothing begins after the last beginning of a block, so an open end needs no stretch beyond it.
+    ends = rows.groupBy(*block).agg(F.max("_s").alias("_max"))
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in block]
+    joined = rows.alias("a").join(ends.alias("b"), on).select("a.*", "b._max") if block else rows.crossJoin(F.broadcast(ends))
+    at = lambda c: F.floor(F.unix_date(c) / width)
+    holds = joined.withColumn("_bin", F.explode(F.sequence(at(F.col("_s")), at(F.least("_e", "_max"))))).drop("_max")
+    begins = rows.withColumn("_bin", at(F.col("_s")))
+    left, right = holds.alias("l"), begins.alias("r")
+    cond = F.col("l._bin") == F.col("r._bin")
     for c in block:
-        on = on & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-    last = lambda side: F.coalesce(F.col(f"{side}.{end}"), F.lit("9999-12-31").cast("date"))
-    begin, stop = F.greatest(F.col(f"l.{start}"), F.col(f"r.{start}")), F.least(last("l"), last("r"))
-    pairs = left.join(right, on).filter(opposite & (begin <= stop))
-    return pairs.select(F.col(f"l.{key}").alias("left"), F.col(f"r.{key}").alias("right"), begin.alias("overlap_start"), stop.alias("overlap_end"), (begin == stop).alias("boundary"))
+        cond = cond & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    # The later beginning finds the earlier one; of equal beginnings the larger key finds the smaller.
+    first = (F.col("l._s") < F.col("r._s")) | ((F.col("l._s") == F.col("r._s")) & (F.col(f"l.{key}") < F.col(f"r.{key}")))
+    pairs = left.join(right, cond & first & (F.col("l._e") >= F.col("r._s")) & opposite)
+    stop = F.least("l._e", "r._e")
+    return pairs.select(F.least(f"l.{key}", f"r.{key}").alias("left"), F.greatest(f"l.{key}", f"r.{key}").alias("right"), F.col("r._s").alias("overlap_start"), stop.alias("overlap_end"), (F.col("r._s") == stop).alias("boundary"))
 
 
 def as_of(events: DataFrame, marks: DataFrame, by: list[str], at: str, value: str) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sedimenta.session import ship
+from sedimenta.operators import lexical
+from sedimenta.session import checkpoint, discard, ship
 
 #: Queries that are compared with all rows at once.
 QUERY_BLOCK = 10_000
@@ -31,36 +33,70 @@ def normalised(a: Column) -> Column:
     return F.when((n > 0) & (n < float("inf")), F.transform(a, lambda x: x.cast("double") / n))
 
 
-def cosine_search(vectors: DataFrame, query: list[float], key: str, vector: str, limit: int) -> DataFrame:
-    """(`key`, score) of the vectors nearest to the query by exact cosine; equal scores in the order of the key. A top-k, so no full sort."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    scored = vectors.select(key, F.round(dot(F.col(vector), q) / (norm(F.col(vector)) * norm(q)), 6).alias("score"))
+def cosine_search(vectors: DataFrame, query: DataFrame, key: str, vector: str, limit: int) -> DataFrame:
+    """(`key`, score) of the vectors nearest to the query, a table of one row and column, by exact cosine; equal scores in the order of the key. A top-k, so no full sort."""
+    q = F.col("_q")
+    scored = vectors.crossJoin(F.broadcast(query.limit(1).toDF("_q"))).select(key, F.round(F.try_divide(dot(F.col(vector), q), norm(F.col(vector)) * norm(q)), 6).alias("score"))
     return scored.filter("score IS NOT NULL").orderBy(F.desc("score"), key).limit(limit)
 
 
 def cosine_neighbours(vectors: DataFrame, queries: DataFrame, key: str, vector: str, limit: int) -> DataFrame:
-    """(query_key, `key`, score, rank): for each row of `queries` its nearest others, exactly.
+    """(query_key, `key`, score, rank): for each row of `queries` its nearest others by cosine, exactly. Vectors without a direction are left out."""
+    return _neighbours(vectors.select(key, normalised(F.col(vector)).alias("v")), queries.select(F.col(key).alias("query_key"), normalised(F.col(vector)).alias("q")), key, limit)
 
-    Queries go against all rows in blocks of about `QUERY_BLOCK`, of which one at a time is sent to the workers: however many there are, what is sent at once has a bound.
+
+def dot_neighbours(vectors: DataFrame, queries: DataFrame, key: str, vector: str, limit: int) -> DataFrame:
+    """As `cosine_neighbours`, by dot product."""
+    doubles = F.col(vector).cast("array<double>")
+    return _neighbours(vectors.select(key, doubles.alias("v")), queries.select(F.col(key).alias("query_key"), doubles.alias("q")), key, limit)
+
+
+def _neighbours(rows: DataFrame, asked: DataFrame, key: str, limit: int) -> DataFrame:
+    """Queries go against all rows in blocks of about `QUERY_BLOCK`, of which one at a time is sent to the workers: however many there are, what is sent at once has a bound.
+
+    Each batch of rows is multiplied with a block's matrix, and of each query only its best `limit` of the batch leave the worker.
     """
-    unit = vectors.select(key, normalised(F.col(vector)).alias("v")).filter("v IS NOT NULL")
-    asked = queries.select(F.col(key).alias("query_key"), normalised(F.col(vector)).alias("q")).filter("q IS NOT NULL")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    ship(rows.sparkSession)
+    rows, asked = rows.filter("v IS NOT NULL"), asked.filter("q IS NOT NULL")
+    kinds = f"query_key {dict(asked.dtypes)['query_key']}, `{key}` {dict(rows.dtypes)[key]}, score double"
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     w = W.partitionBy("query_key").orderBy(F.desc("score"), key)
     found = []
     for b in range(blocks):
         block = asked.filter(F.pmod(F.xxhash64("query_key"), F.lit(blocks)) == b) if blocks > 1 else asked
-        pairs = unit.crossJoin(F.broadcast(block)).filter(F.col(key) != F.col("query_key"))
-        scored = pairs.select("query_key", key, F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
-        found.append(scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit))
+        arrow = block.toArrow().combine_chunks()
+        sent = rows.sparkSession.sparkContext.broadcast((arrow.column(0), np.array(arrow.column(1).to_pylist(), float).reshape(arrow.num_rows, -1)))
+        best = rows.mapInArrow(_best(sent, limit), kinds)
+        found.append(best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit))
     return reduce(DataFrame.unionByName, found)
 
 
+def _best(sent, limit: int):
+    def run(batches):
+        asked, matrix = sent.value
+        names = asked.to_pylist()
+        for b in batches:
+            keys = b.column(0).to_pylist()
+            if not keys or not names:
+                continue
+            scores = np.round(np.array(b.column(1).to_pylist(), float) @ matrix.T, 6) + 0.0
+            order = np.array(sorted(range(len(keys)), key=keys.__getitem__))  # equal scores in the order of the key
+            rows, columns = [], []
+            for j, name in enumerate(names):
+                kept = order[np.argsort(-scores[order, j], kind="stable")]
+                kept = [i for i in kept[: limit + 1] if keys[i] != name][:limit]
+                rows += kept
+                columns += [j] * len(kept)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in columns], asked.type), b.column(0).take(at), pa.array(scores[rows, columns])], names=["query_key", b.schema.names[0], "score"])
+
+    return run
+
+
 def fuse(routes: DataFrame, key: str, route: str, order: list, k: int = 60) -> DataFrame:
     """(`key`, score, routes): reciprocal rank fusion of all routes' hits."""
-    w = W.partitionBy(route).orderBy(*order)
-    ranked = routes.select(key, route, (1.0 / (k + F.row_number().over(w))).alias("rr"))
-    return ranked.groupBy(key).agg(F.round(F.sum("rr"), 6).alias("score"), F.count("*").alias("routes"))
+    hits = lexical.reciprocal_ranks(routes, key, order, k, [route])
+    return hits.groupBy(key).agg(F.round(F.sum("rr"), 6).alias("score"), F.count("*").alias("routes"))
 
 
 def diversified(ranked: DataFrame, group: list[str], order: list) -> DataFrame:
@@ -82,15 +118,13 @@ def within_budget(ranked: DataFrame, size: Column, budget: int, order: list, by:
     return ranked.withColumn("used", F.sum(size).over(w).cast("bigint")).filter(F.col("used") <= budget)
 
 
-def packed(ranked: DataFrame, key: str, size: str, budget: int, most: int | None, order: str, by: str) -> DataFrame:
+def packed(ranked: DataFrame, key: str, size: str, budget: int, order: str, by: str) -> DataFrame:
     """(`by`, `key`): of each group, in order, each row that still fits: one that is too large is skipped and later ones are tried.
 
-    One pass over the sorted rows of each group that holds what is used so far alone, so a group's size doesn't matter. most: rows of a group that are tried; None for all.
+    One pass over the sorted rows of each group that holds what is used so far alone, so a group's size doesn't matter.
     """
     ship(ranked.sparkSession)
     rows = ranked.select(F.col(by).alias("g"), F.col(key).cast("bigint").alias("k"), F.col(size).cast("bigint").alias("s"), F.col(order).alias("o"))
-    if most is not None:
-        rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("g").orderBy("o"))).filter(F.col("_n") <= most)
 
     def fold(batches):
         group, used = object(), 0
@@ -128,17 +162,23 @@ def page_cursor(scope: str, last: Column) -> Column:
     return F.base64(F.concat(F.sha2(F.lit(scope), 256), F.lit(":"), last.cast("string")))
 
 
-def facet_cover(items: DataFrame, key: str, facet: str, limit: int) -> list:
-    """The keys of at most `limit` items, each the one with the most facets not yet covered (then the smallest key), until nothing is new.
+def facet_cover(items: DataFrame, key: str, facet: str, limit: int, relevance: str | None = None) -> DataFrame:
+    """(`key`, place, fresh): at most `limit` items, each the one with the most facets not yet covered (then the most relevant, then the smallest key), until nothing is new.
 
-    One aggregate per choice, over what is not yet covered: the driver sees the chosen keys alone."""
-    chosen: list = []
-    rest = items.select(key, facet).distinct()
-    for _ in range(limit):
-        best = rest.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(1).collect()
+    What is left of the items after each choice is written and read once; the driver sees one key a choice, of which there are `limit`.
+    """
+    spark = items.sparkSession
+    order = [F.desc("n"), *([F.desc("r")] if relevance else []), key]
+    rest = checkpoint(items.select(key, facet, *([F.col(relevance).alias("r")] if relevance else [])).distinct())
+    chosen: list[tuple] = []
+    while len(chosen) < limit:
+        best = rest.groupBy(key).agg(F.countDistinct(facet).alias("n"), *([F.max("r").alias("r")] if relevance else [])).orderBy(*order).limit(1).collect()
         if not best:
             break
-        chosen.append(best[0][0])
-        covered = items.filter(F.col(key).isin(chosen)).select(facet).distinct()
-        rest = items.select(key, facet).distinct().join(covered, facet, "left_anti")
-    return chosen
+        chosen.append((best[0][0], len(chosen), best[0]["n"]))
+        covered = rest.filter(F.col(key) == best[0][0]).select(facet)
+        before, rest = rest, checkpoint(rest.join(covered, facet, "left_anti"))
+        discard(before)
+    discard(rest)
+    kind = dict(items.select(key).dtypes)[key]
+    return spark.createDataFrame(chosen, f"`{key}` {kind}, place bigint, fresh bigint")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sedimenta.session import ship
+
 GENESIS = "0" * 64
 
 
@@ -14,6 +20,27 @@ def link_hash(payload: Column, previous: Column) -> Column:
     return F.sha2(F.concat(previous, F.lit("|"), payload), 256)
 
 
+def chained(records: DataFrame, by: str, order: str, payload: str) -> DataFrame:
+    """`records` (`by`, `order`, `payload`) with prev and hash: the chain that starts at GENESIS in each group. One pass over sorted rows that holds the last hash alone."""
+    ship(records.sparkSession)
+    rows = records.select(by, order, payload).repartition(by).sortWithinPartitions(by, order)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last = object(), GENESIS
+        for b in batches:
+            before, after = [], []
+            for g, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if g != group:
+                    group, last = g, GENESIS
+                before.append(last)
+                last = hashlib.sha256(f"{last}|{text}".encode()).hexdigest()
+                after.append(last)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], names=[*b.schema.names, "prev", "hash"])
+
+    kinds = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes)
+    return rows.mapInArrow(fold, f"{kinds}, prev string, hash string")
+
+
 def chain_breaks(records: DataFrame, by: list[str], order: str, payload: Column, hash_: str, previous: str) -> DataFrame:
     """(`by`, `order`): records whose previous hash isn't that of the record before, or whose own hash is wrong. One window per chain, no recursion."""
     before = F.coalesce(F.lag(hash_).over(W.partitionBy(*by).orderBy(order)), F.lit(GENESIS))

@@ -44,7 +44,7 @@ def folded(text: str | None) -> str | None:
 def quotation_scopes(text: str) -> list[tuple[int, int, str | None]]:
     """(start, end, speaker) of what stands in quotation marks; speaker: the name before a colon or a verb of saying in front of it."""
     out = []
-    for m in re.finditer(r"[\"“„«]([^\"”“»]{1,2000})[\"”“»]", text):
+    for m in re.finditer(r"[\"“„«]([^\"”“»]+)[\"”“»]", text):
         before = re.search(r"([A-Z][\w'-]+(?: [A-Z][\w'-]+)?)(?: (?:said|wrote|says|sagte|schrieb))?\s*[:,]\s*$", text[max(0, m.start() - 80) : m.start()])
         out.append((m.start(1), m.end(1), before[1] if before else None))
     return out

@@ -128,16 +128,19 @@ def x24_temporal_relation(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), relation.alias("relation"))
 
 
-_PEOPLE = r"""r AS (SELECT DISTINCT segment_id AS k, lower(trim(string_split(from_addr, '<')[1])) AS name, lower(trim(regexp_extract(from_addr, '<([^>]*)>', 1))) AS email FROM mail_headers WHERE contains(from_addr, '<')),
+_PEOPLE = r"""r AS (SELECT segment_id AS k, CASE WHEN contains(from_addr, '<') THEN lower(trim(string_split(from_addr, '<')[1])) END AS name, lower(trim(CASE WHEN contains(from_addr, '<') THEN regexp_extract(from_addr, '<([^>]*)>', 1) ELSE from_addr END)) AS email FROM mail_headers WHERE from_addr IS NOT NULL AND segment_id IS NOT NULL
+UNION ALL SELECT segment_id || ':to', CASE WHEN contains(from_addr, '<') THEN lower(trim(string_split(from_addr, '<')[1])) END, 'office@' || split_part(lower(trim(regexp_extract(from_addr, '<([^>]*)>', 1))), '@', 2) FROM mail_headers WHERE contains(from_addr, '<') AND subject LIKE '%CASE-%'),
 g AS (SELECT name, email, min(k) AS k FROM r GROUP BY ALL)"""
 
 
-@query(rf"""WITH {_PEOPLE} SELECT a.k AS "left", b.k AS "right", CASE WHEN a.name <> b.name OR a.email <> b.email THEN 'conflicting_attributes' WHEN a.email = b.email AND a.name = b.name THEN 'same_identified_record' ELSE 'possible_identity' END AS status
+@query(rf"""WITH {_PEOPLE} SELECT least(a.k, b.k) AS "left", greatest(a.k, b.k) AS "right", CASE WHEN coalesce(a.name <> b.name, false) OR a.email <> b.email THEN 'conflicting_attributes' WHEN a.email = b.email AND coalesce(a.name = b.name, false) THEN 'same_identified_record' ELSE 'possible_identity' END AS status
 FROM g a JOIN g b ON a.k < b.k AND (a.name = b.name OR a.email = b.email)""")
 def j13_identity_pairs(spark, d):
-    """Senders that share a name or an address."""
-    h = table(spark, d, "mail_headers").filter(F.col("from_addr").contains("<"))
-    records = h.select(F.col("segment_id").alias("k"), F.lower(X.display_name(F.col("from_addr"))).alias("name"), F.lower(X.mail_address(F.col("from_addr"))).alias("email")).distinct()
+    """Records of senders, with and without a name, and of the offices that names in some mails stand for, which share a name or an address."""
+    h = table(spark, d, "mail_headers").filter("from_addr IS NOT NULL AND segment_id IS NOT NULL")
+    name, email = F.lower(X.display_name(F.col("from_addr"))), F.lower(X.mail_address(F.col("from_addr")))
+    office = h.filter(F.contains("from_addr", F.lit("<")) & F.contains("subject", F.lit("CASE-"))).select(F.concat(F.col("segment_id"), F.lit(":to")).alias("k"), name.alias("name"), F.concat(F.lit("office@"), F.element_at(F.split(email, "@"), 2)).alias("email"))
+    records = h.select(F.col("segment_id").alias("k"), name.alias("name"), email.alias("email")).unionByName(office)
     return knowledge.identity_pairs(records, "k", "name", ["email"])
 
 

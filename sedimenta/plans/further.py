@@ -9,7 +9,7 @@ from sedimenta.functions import text as X
 from sedimenta.operators import evaluation, folds, graph, segments, spans
 from sedimenta.plans import analytics
 from sedimenta.plans.registry import query
-from sedimenta.session import table
+from sedimenta.session import scratch, table
 from sedimenta.sources import sinks
 
 GRAMMAR = {"identifier": r"\b(?:REF|INV|LOT|DN|AX|CASE)-\d{3,6}\b", "email": r"[\w.]+@[\w.]+\.\w+", "date": r"\b\d{4}-\d{2}-\d{2}\b"}
@@ -56,23 +56,12 @@ def k5_quotation_scopes(spark, d):
     return spans.quotations(_segments(spark, d), "id")
 
 
-@query()
+@query("SELECT doc_id, replace(replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), 'ﬁ', 'fi'), 'ſ', 's') AS folded FROM documents WHERE text IS NOT NULL")
 def x4_folded_texts(spark, d):
     """Texts in NFC, casefolded."""
     return spans.folded_texts(table(spark, d, "documents"), "doc_id")
 
 
-@query("""WITH b AS (SELECT doc_id, unnest(range(0, length(text), 500)) AS s, text FROM documents WHERE text IS NOT NULL AND length(text) > 0), c AS (SELECT sha256(doc_id || ':' || s || ':' || substring(text, s + 1, 500)) AS choice, doc_id, s FROM b),
-a AS (SELECT choice FROM c WHERE s = 0 UNION ALL SELECT sha256('unknown ' || doc_id) FROM documents WHERE doc_id % 10 = 0) SELECT a.choice, coalesce(doc_id, -1) AS doc_id, doc_id IS NULL AS rejected FROM a LEFT JOIN c ON a.choice = c.choice AND c.s = 0""")
-def t29_citation_choices(spark, d):
-    """Chosen citations resolved by their hashes; unknown ones are rejected."""
-    docs = table(spark, d, "documents")
-    parts = segments.fixed_parts(docs.filter("text != ''"), "doc_id", 500)
-    c = parts.select(F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("char_start").cast("string"), F.lit(":"), F.col("part")), 256).alias("choice"), "doc_id", "char_start").filter("char_start = 0")
-    asked = c.select("choice").unionByName(docs.filter("doc_id % 10 = 0").select(F.sha2(F.concat(F.lit("unknown "), F.col("doc_id").cast("string")), 256).alias("choice")))
-    return asked.join(c, "choice", "left").select("choice", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.col("doc_id").isNull().alias("rejected"))
-
-
 @query("""WITH b AS (SELECT doc_id, unnest(range(0, length(text), 500)) AS s, text FROM documents WHERE text IS NOT NULL AND length(text) > 0), c AS (SELECT sha256(doc_id || ':' || s || ':' || substring(text, s + 1, 500)) AS choice, doc_id, s FROM b),
 a AS (SELECT choice FROM c UNION ALL SELECT sha256('unknown ' || doc_id) FROM documents) SELECT a.choice, coalesce(doc_id, -1) AS doc_id, coalesce(s, -1) AS char_start, doc_id IS NULL AS rejected FROM a LEFT JOIN c ON a.choice = c.choice""")
 def t29_all_citation_choices(spark, d):
@@ -249,11 +238,13 @@ def s12_markup_text(spark, d):
     return table(spark, d, "documents").filter(F.col("text").contains("</")).select("doc_id", X.collapse(t).alias("visible"))
 
 
-@query("SELECT 0::BIGINT AS surplus, count(*) AS n FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS content_sha, true AS equal FROM documents")
 def s4_staged_copy(spark, d):
-    """A copy compared with its source: what one has and the other hasn't."""
-    docs = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "text")
-    return sinks.differences(docs, docs.repartition(3)).agg(F.count("*").alias("surplus")).crossJoin(docs.agg(F.count("*").alias("n")))
+    """The inventory of a staged copy, which was written and read again, and whether each row is as it was."""
+    inventory = lambda rows: rows.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_sha"))
+    source = table(spark, d, "documents")
+    staged = inventory(scratch(spark).write(source.select("doc_id", "text")))
+    return staged.join(inventory(source).withColumn("equal", F.lit(True)), ["doc_id", "content_sha"], "left").withColumn("equal", F.coalesce("equal", F.lit(False)))
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line FROM documents), h AS (SELECT doc_id, n, CASE WHEN regexp_matches(line, '^(#|§)+ ?[0-9A-Za-z]') THEN line END AS h FROM l)

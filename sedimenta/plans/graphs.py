@@ -73,18 +73,6 @@ def g15_closure(spark, d):
 _FEATURES = "f AS (SELECT DISTINCT member AS item, lower(trim(feature, chr(32) || chr(9))) AS feature FROM postings WHERE member IS NOT NULL AND trim(feature, chr(32) || chr(9)) <> '')"
 
 
-@query(f"""
-WITH {_FEATURES}, n AS (SELECT count(DISTINCT item) AS n FROM f), k AS (SELECT feature, count(*) AS df FROM f GROUP BY 1 HAVING count(*) BETWEEN 2 AND 12),
-p AS (SELECT a.item AS "left", b.item AS "right", ln(1 + n.n / k.df) AS w FROM k JOIN f a USING (feature) JOIN f b USING (feature), n WHERE a.item < b.item)
-SELECT "left", "right", count(*) AS shared, round(sum(w), 6) AS weight FROM p GROUP BY ALL
-""")
-def t17_related_members(spark, d):
-    """Members with common features that few have, by rarity."""
-    f = F.lower(F.btrim("feature", F.lit(" \t")))
-    rows = table(spark, d, "postings").select("member", f.alias("feature")).filter("feature != ''")
-    return graph.shared_features(rows, "member", "feature", 12)
-
-
 @query(f"""
 WITH {_FEATURES}, k AS (SELECT feature, count(*) AS df FROM f GROUP BY 1 HAVING count(*) BETWEEN 2 AND 12)
 SELECT feature, df, array_to_string(list_sort(list(item)), ' ') AS members FROM k JOIN f USING (feature) GROUP BY ALL
@@ -110,13 +98,15 @@ def j1_star_join(spark, d):
 
 
 @query("""
-WITH a AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS p FROM lineitem), k AS (SELECT p FROM a GROUP BY 1 HAVING count(*) <= 40)
-SELECT x.k AS "left", y.k AS "right", count(*) AS shared FROM a x JOIN a y ON x.p = y.p AND x.k < y.k SEMI JOIN k ON x.p = k.p GROUP BY ALL HAVING count(*) > 1
+WITH a AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS p FROM lineitem), x AS (SELECT * FROM a WHERE k % 100 = 0), s AS (SELECT x.k AS "left", y.k AS "right", count(*) AS shared FROM x JOIN a y ON x.p = y.p AND x.k <> y.k GROUP BY ALL)
+SELECT * FROM s WHERE shared > 1
 """)
 def j6_shared_parts(spark, d):
-    """Orders that have several parts in common."""
+    """For each hundredth order all others that have several parts in common with it."""
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    return graph.shared_features(rows, "l_orderkey", "l_partkey", 40).filter("shared > 1").select("left", "right", "shared")
+    asked = rows.filter("l_orderkey % 100 = 0").select(F.col("l_orderkey").alias("left"), "l_partkey")
+    pairs = asked.join(rows, "l_partkey").filter(F.col("left") != F.col("l_orderkey")).groupBy("left", F.col("l_orderkey").alias("right")).agg(F.count("*").alias("shared"))
+    return pairs.filter("shared > 1")
 
 
 @query("""

@@ -9,17 +9,18 @@ from sedimenta.operators import graph, review
 from sedimenta.plans.registry import query
 from sedimenta.session import table
 
-_CHAIN = """c AS (SELECT user_id, event_id, event_type AS payload, CASE WHEN row_number() OVER w = 1 THEN repeat('0', 64) ELSE sha256(lag(event_id) OVER w || '') END AS prev FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
-h AS (SELECT *, CASE WHEN event_id % 97 = 0 THEN 'x' ELSE sha256(prev || '|' || payload) END AS hash FROM c)"""
+_CHAIN = """RECURSIVE e AS (SELECT user_id, event_id, event_type AS payload, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+c AS (SELECT user_id, event_id, payload, n, repeat('0', 64) AS prev, sha256(repeat('0', 64) || '|' || payload) AS hash FROM e WHERE n = 1
+UNION ALL SELECT e.user_id, e.event_id, e.payload, e.n, c.hash, sha256(c.hash || '|' || e.payload) FROM c JOIN e ON e.user_id = c.user_id AND e.n = c.n + 1),
+h AS (SELECT user_id, event_id, payload, prev, CASE WHEN event_id % 97 = 0 THEN 'x' ELSE hash END AS hash FROM c)"""
 
 
 @query(f"WITH {_CHAIN}, l AS (SELECT user_id, event_id, prev <> coalesce(lag(hash) OVER (PARTITION BY user_id ORDER BY event_id), repeat('0', 64)) OR hash <> sha256(prev || '|' || payload) AS wrong FROM h) SELECT user_id, event_id FROM l WHERE wrong")
 def w8_hash_chain(spark, d):
-    """Where chains of events, made with faults, are broken."""
-    w = W.partitionBy("user_id").orderBy("event_id")
-    c = table(spark, d, "events").select("user_id", "event_id", F.col("event_type").alias("payload"), F.coalesce(F.sha2(F.lag("event_id").over(w).cast("string"), 256), F.lit(review.GENESIS)).alias("prev"))
-    h = c.withColumn("hash", F.when(F.col("event_id") % 97 == 0, "x").otherwise(review.link_hash(F.col("payload"), F.col("prev"))))
-    return review.chain_breaks(h, ["user_id"], "event_id", F.col("payload"), "hash", "prev")
+    """Where chains of events are broken, of which each 97th record was tampered with after the chains were made."""
+    made = review.chained(table(spark, d, "events").select("user_id", "event_id", F.col("event_type").alias("payload")), "user_id", "event_id", "payload")
+    tampered = made.withColumn("hash", F.when(F.col("event_id") % 97 == 0, "x").otherwise(F.col("hash")))
+    return review.chain_breaks(tampered, ["user_id"], "event_id", F.col("payload"), "hash", "prev")
 
 
 @query("SELECT user_id, event_type, max(event_id) AS n, arg_max(event_id, (ts, event_id)) AS latest, round(arg_max(value, (ts, event_id)), 6) AS value FROM events GROUP BY ALL")

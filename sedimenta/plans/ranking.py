@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 
 from sedimenta.operators import lexical, ranking
 from sedimenta.plans.registry import query
-from sedimenta.session import table
+from sedimenta.session import scratch, table
 
 TERMS = ["register", "crates", "inspection"]
 PHRASE = ["never", "reached", "the", "desk"]
@@ -30,14 +30,25 @@ def _documents(spark, d):
     return table(spark, d, "documents")
 
 
+_INDEXES: dict[tuple[str, str], lexical.Index] = {}
+
+
+def frozen(spark, d):
+    """The index of the documents of a folder, written when it is first asked for and kept as long as the application runs."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        _INDEXES[key] = lexical.freeze(_documents(spark, d), "doc_id", scratch(spark))
+    return _INDEXES[key]
+
+
 def _scores(spark, d):
-    return lexical.bm25_scores(_documents(spark, d), TERMS, "doc_id")
+    return lexical.bm25_scores(frozen(spark, d), TERMS)
 
 
 @query(f"WITH {_BM25} SELECT doc_id, round(sum(score), 6) AS score, count(*) AS matched FROM s GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 10")
 def t4_bm25_topk(spark, d):
     """The ten best documents for three terms."""
-    return lexical.bm25_search(_documents(spark, d), TERMS, "doc_id", 10)
+    return lexical.bm25_search(frozen(spark, d), TERMS, 10)
 
 
 @query(f"WITH {_BM25} SELECT doc_id, round(sum(score), 6) AS score, count(*) AS matched FROM s GROUP BY 1")
@@ -49,7 +60,7 @@ def t6_or_bm25(spark, d):
 @query(f"WITH {_INDEX} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM i GROUP BY 1")
 def a4_document_frequency(spark, d):
     """How many documents have each word, and how often."""
-    return lexical.term_index(_documents(spark, d), "doc_id").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return frozen(spark, d).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query(r"WITH w AS (SELECT source, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS dl FROM documents WHERE text IS NOT NULL) SELECT source, count(*) AS n, round(avg(dl), 6) AS avgdl FROM w GROUP BY 1")
@@ -65,7 +76,7 @@ SELECT doc_id, count(*) AS hits FROM p WHERE w[p] = 'never' AND w[p + 1] = 'reac
 """)
 def t4_phrase_match(spark, d):
     """Documents with a phrase of four words."""
-    return lexical.phrase_matches(_documents(spark, d), PHRASE, "doc_id")
+    return lexical.phrase_matches(frozen(spark, d), PHRASE)
 
 
 @query("""
@@ -75,8 +86,7 @@ SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 6)
 def t9_cosine_topk(spark, d):
     """The twenty vectors nearest to the first one."""
     vectors = table(spark, d, "embeddings")
-    first = vectors.orderBy("vec_id").limit(1).collect()[0]
-    return ranking.cosine_search(vectors, list(first.embedding), "vec_id", "embedding", 20)
+    return ranking.cosine_search(vectors, vectors.orderBy("vec_id").limit(1).select("embedding"), "vec_id", "embedding", 20)
 
 
 @query("""
@@ -97,9 +107,10 @@ SELECT label, max(round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q),
 def l6_window_max(spark, d):
     """The best window of each group."""
     vectors = table(spark, d, "embeddings")
-    q = F.array(*(F.lit(float(x)) for x in vectors.orderBy("vec_id").limit(1).collect()[0].embedding))
+    q = F.col("q")
     score = F.round(ranking.dot(F.col("embedding"), q) / (ranking.norm(F.col("embedding")) * ranking.norm(q)), 6)
-    return vectors.select("label", score.alias("score")).groupBy("label").agg(F.max("score").alias("score"), F.count("*").alias("windows"))
+    asked = vectors.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
+    return vectors.crossJoin(F.broadcast(asked)).select("label", score.alias("score")).groupBy("label").agg(F.max("score").alias("score"), F.count("*").alias("windows"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS length FROM embeddings")
@@ -154,10 +165,13 @@ def w10_prefix_budget(spark, d):
     return ranking.within_budget(_ranked(spark, d), F.col("n"), 6000, [F.desc("score"), "doc_id"], ["source"]).select("source", "doc_id", "used")
 
 
-@query()
+@query(
+    f"""{_TOTAL.replace("WITH", "WITH RECURSIVE", 1)}, o AS (SELECT source, doc_id, n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM j), f AS (SELECT source, doc_id, r, CASE WHEN n <= 6000 THEN n ELSE 0 END AS used, n <= 6000 AS took FROM o WHERE r = 1
+UNION ALL SELECT o.source, o.doc_id, o.r, CASE WHEN f.used + o.n <= 6000 THEN f.used + o.n ELSE f.used END, f.used + o.n <= 6000 FROM f JOIN o ON o.source = f.source AND o.r = f.r + 1) SELECT source, doc_id FROM f WHERE took"""
+)
 def w9_budget_pack(spark, d):
     """Of each source the documents that fit into 6,000 characters, skipping those that are too large."""
-    return ranking.packed(_ranked(spark, d), "doc_id", "n", 6000, None, "doc_id", "source")
+    return ranking.packed(_ranked(spark, d), "doc_id", "n", 6000, "doc_id", "source")
 
 
 @query(
@@ -215,17 +229,21 @@ def l9_stratified_sample(spark, d):
     return ranking.hash_sample(_documents(spark, d), "source", "doc_id", "37", 5)
 
 
-@query()
+@query(rf"""WITH RECURSIVE {_BM25}, r AS (SELECT DISTINCT doc_id, term AS facet FROM s), m AS (SELECT doc_id, list_sort(list(facet)) AS f, len(list(facet)) AS n FROM r GROUP BY 1),
+c(place, doc_id, fresh, done) AS (SELECT -1, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS VARCHAR[]) UNION ALL SELECT * FROM (
+SELECT c.place + 1, m.doc_id, CAST(len(list_filter(m.f, lambda x: NOT list_contains(c.done, x))) AS BIGINT) AS fresh, list_concat(c.done, m.f) FROM c, m WHERE c.place < 4 AND len(list_filter(m.f, lambda x: NOT list_contains(c.done, x))) > 0
+ORDER BY fresh DESC, m.doc_id LIMIT 1)) SELECT doc_id, CAST(place AS BIGINT) AS place, fresh FROM c WHERE place >= 0""")
 def l10_facet_cover(spark, d):
-    """Documents that together have the most different words of three routes, chosen one by one."""
+    """Documents that together have the most different words of a question, chosen one by one, with how many each adds."""
     hits = _scores(spark, d).select("doc_id", F.col("term").alias("facet"))
-    return spark.createDataFrame([(int(k), i) for i, k in enumerate(ranking.facet_cover(hits, "doc_id", "facet", 5))], "doc_id bigint, place bigint")
+    return ranking.facet_cover(hits, "doc_id", "facet", 5)
 
 
-@query("SELECT max(ingested_at) = max(ingested_at) FILTER (doc_id IS NOT NULL) AS current, max_by(doc_id, (ingested_at, doc_id)) AS head FROM documents")
+@query("""WITH h AS (SELECT source, max_by(doc_id, (ingested_at, doc_id)) AS head, max(ingested_at) AS last FROM documents GROUP BY 1) SELECT source, head, last = (SELECT max(ingested_at) FROM documents) AS current FROM h""")
 def l13_latest_head(spark, d):
-    """The document that came in last."""
-    return _documents(spark, d).agg((F.max("ingested_at") == F.max(F.when(F.col("doc_id").isNotNull(), F.col("ingested_at")))).alias("current"), F.max_by("doc_id", F.struct("ingested_at", "doc_id")).alias("head"))
+    """The document that came in last from each source, and whether any came in later."""
+    heads = _documents(spark, d).groupBy("source").agg(F.max_by("doc_id", F.struct("ingested_at", "doc_id")).alias("head"), F.max("ingested_at").alias("at"))
+    return heads.crossJoin(F.broadcast(heads.agg(F.max("at").alias("last")))).select("source", "head", (F.col("at") == F.col("last")).alias("current"))
 
 
 _QUESTION = "which registry has the revised schedule and the witness statement"
@@ -241,7 +259,7 @@ SELECT doc_id, terms, round(a / w, 6) AS relevance, round(rarity, 6) AS rarity F
 def t16_term_coverage(spark, d):
     """How much of a question's weight each document has, and how rare the words are that it has."""
     docs = _documents(spark, d)
-    m = lexical.term_index(docs, "doc_id").filter(F.col("term").isin(_WORDS)).select("doc_id", "term")
+    m = frozen(spark, d).hits(_WORDS)
     df = lexical.document_frequency(m, "doc_id")
     n = docs.agg(F.count("*").alias("n"))
     weights = df.crossJoin(F.broadcast(n)).select("term", "df", (1 + F.log((F.col("n") + 1) / (F.col("df") + 1))).alias("w"))
@@ -259,7 +277,7 @@ SELECT doc_id, row_number() OVER (ORDER BY diversity, rarity DESC, terms DESC, d
 def t15_reference_rank(spark, d):
     """The first sixty documents by (turn in its source, rarity, words matched)."""
     docs = _documents(spark, d)
-    m = lexical.term_index(docs, "doc_id").filter(F.col("term").isin(_WORDS)).select("doc_id", "term")
+    m = frozen(spark, d).hits(_WORDS)
     x = m.join(F.broadcast(lexical.document_frequency(m, "doc_id")), "term").groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum(1.0 / F.col("df")), 9).alias("rarity"))
     order = [F.desc("rarity"), F.desc("terms"), "doc_id"]
     v = ranking.diversified(x.join(docs.select("doc_id", "source"), "doc_id"), ["source"], order)
@@ -275,14 +293,14 @@ def t21_contained_words(spark, d):
 
 
 @query("""
-WITH a AS (SELECT doc_id FROM documents WHERE contains(text, 'register')), b AS (SELECT doc_id FROM documents WHERE contains(text, 'ledger'))
-SELECT (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)) AS either, (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS both,
-(SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS only_first, (SELECT count(*) FROM a SEMI JOIN b USING (doc_id)) = (SELECT count(*) FROM b SEMI JOIN a USING (doc_id)) AS symmetric
+WITH a AS (SELECT doc_id FROM documents WHERE contains(text, 'register')), b AS (SELECT doc_id FROM documents WHERE contains(text, 'ledger')), x AS (SELECT (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)) AS either,
+(SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS both, (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS only_first, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS only_second)
+SELECT *, only_first = 0 AND only_second = 0 AS equal FROM x
 """)
 def u_route_sets(spark, d):
-    """Union, intersection and difference of two routes."""
+    """Union, intersection and differences of two routes, and whether they are the same set."""
     docs = _documents(spark, d)
-    flags = docs.select(F.coalesce(F.col("text").contains("register"), F.lit(False)).alias("a"), F.coalesce(F.col("text").contains("ledger"), F.lit(False)).alias("b"))
-    return flags.agg(
-        F.count_if(F.col("a") | F.col("b")).alias("either"), F.count_if(F.col("a") & F.col("b")).alias("both"), F.count_if(F.col("a") & ~F.col("b")).alias("only_first"), F.lit(True).alias("symmetric")
-    )
+    a, b = (docs.filter(F.contains("text", F.lit(w))).select("doc_id").distinct() for w in ("register", "ledger"))
+    sides = a.withColumn("a", F.lit(True)).join(b.withColumn("b", F.lit(True)), "doc_id", "full")
+    only = [F.count_if(F.col(x).isNotNull() & F.col(y).isNull()) for x, y in ("ab", "ba")]
+    return sides.agg(F.count("*").alias("either"), F.count_if(F.col("a") & F.col("b")).alias("both"), only[0].alias("only_first"), only[1].alias("only_second"), ((only[0] == 0) & (only[1] == 0)).alias("equal"))

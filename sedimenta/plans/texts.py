@@ -178,15 +178,7 @@ def t24_line_search(spark, d):
     return segments.lines(table(spark, d, "documents"), "doc_id").filter(F.lower("line").contains("register")).select("doc_id", "line_no")
 
 
-@query(r"""
-SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '\b(not|no|never|nobody|nothing|nicht|kein|keine|nie|niemand)\b')) AS BIGINT) AS negation,
-CAST(len(regexp_extract_all(lower(text), '\b(if|unless|provided|falls|wenn|sofern|sobald)\b')) AS BIGINT) AS condition,
-CAST(len(regexp_extract_all(lower(text), '\b(except|only|ausser|nur)\b')) AS BIGINT) AS exception,
-CAST(len(regexp_extract_all(lower(text), '\b(\d{4}-\d{2}-\d{2})\b')) AS BIGINT) AS "date",
-CAST(len(regexp_extract_all(lower(text), '\b(\d+ (?:crates|units|days))\b')) AS BIGINT) AS amount,
-CAST(len(regexp_extract_all(lower(text), '\b(all|every|any|each|alle|jede|jeder)\b')) AS BIGINT) AS scope
-FROM documents WHERE text IS NOT NULL
-""")
+@query("SELECT doc_id, " + ", ".join(f"""CAST(len(regexp_extract_all(lower(text), '{p.replace("'", "''")}')) AS BIGINT) AS "{n}\"""" for n, p in X.RISK_MARKERS.items()) + " FROM documents WHERE text IS NOT NULL")
 def t28_risk_markers(spark, d):
     """Words that restrict or qualify, by category, in each text."""
     return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", *X.marker_counts(F.col("text")))
@@ -208,16 +200,32 @@ def d2_repeated_wording(spark, d):
     return dedup.repeated_wording(table(spark, d, "documents"), "doc_id")
 
 
-@query("""
-WITH s AS (SELECT DISTINCT id, document_version_id, ordinal, text_sha FROM segments),
-p AS (SELECT id, text_sha, lag(text_sha) OVER w AS b, lead(text_sha) OVER w AS a FROM s WINDOW w AS (PARTITION BY document_version_id ORDER BY ordinal NULLS FIRST, id NULLS FIRST)),
-m AS (SELECT id, min(id) OVER (PARTITION BY text_sha, b, a) AS alias_of FROM p WHERE text_sha IS NOT NULL)
-SELECT id, alias_of FROM m WHERE id <> alias_of
-""")
+_PARAGRAPHS = """l AS (SELECT doc_id, coalesce(mime_type, '') AS modality, string_split(text, chr(10) || chr(10)) AS p FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id || ':' || n AS id, doc_id, modality, n AS ordinal, sha256(p[n]) AS sha FROM (SELECT *, unnest(range(1, len(p) + 1)) AS n FROM l))"""
+
+
+def _paragraphs(spark, d):
+    """(id, doc_id, modality, ordinal, sha) of the paragraphs of all documents."""
+    l = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.coalesce("mime_type", F.lit("")).alias("modality"), F.posexplode(F.split("text", "\n\n", -1)).alias("n", "p"))
+    n = F.col("n").cast("bigint") + 1
+    return l.select(F.concat_ws(":", F.col("doc_id").cast("string"), n.cast("string")).alias("id"), "doc_id", "modality", n.alias("ordinal"), F.sha2("p", 256).alias("sha"))
+
+
+@query(f"""WITH {_PARAGRAPHS}, p AS (SELECT id, sha, lag(sha) OVER w AS b, lead(sha) OVER w AS a FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal, id)), m AS (SELECT id, min(id) OVER (PARTITION BY sha, b, a) AS alias_of FROM p)
+SELECT id, alias_of FROM m WHERE id <> alias_of""")
 def d3_context_aliases(spark, d):
-    """Segments that repeat another one with the same neighbours."""
-    s = table(spark, d, "segments").select("id", "document_version_id", "ordinal", "text_sha").distinct()
-    return dedup.context_aliases(s, "document_version_id", "id", "ordinal", "text_sha")
+    """Paragraphs that repeat another one with the same neighbours."""
+    return dedup.context_aliases(_paragraphs(spark, d), "doc_id", "id", "ordinal", "sha")
+
+
+@query(f"""WITH {_PARAGRAPHS}, p AS (SELECT modality, sha, lag(sha) OVER w AS b, lead(sha) OVER w AS a FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal, id)),
+k AS (SELECT sha256(modality || '|' || sha || '|' || coalesce(b, '') || '|' || coalesce(a, '')) AS context FROM p) SELECT context, count(*) AS members FROM k GROUP BY 1 HAVING count(*) > 1""")
+def w6_context_key(spark, d):
+    """Contexts (kind, text and the texts beside it) that several paragraphs have, and how many."""
+    w = W.partitionBy("doc_id").orderBy("ordinal", "id")
+    beside = [F.coalesce(f("sha").over(w), F.lit("")) for f in (F.lag, F.lead)]
+    keys = _paragraphs(spark, d).select(F.sha2(F.concat_ws("|", "modality", "sha", *beside), 256).alias("context"))
+    return keys.groupBy("context").agg(F.count("*").alias("members")).filter("members > 1")
 
 
 @query(r"""

@@ -81,9 +81,10 @@ class Scratch:
     def _fs(self):
         return self._path(self.folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, folders: list[str] | None = None) -> DataFrame:
+        """`df` read again from where it was written; folders: columns whose values are folders of the table."""
         path = f"{self.folder}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=folders)
         again = self.spark.read.schema(df.schema).parquet(path)
         self.tables.append((again, path))
         return again
@@ -101,10 +102,15 @@ _SCRATCH: dict[str, Scratch] = {}
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """`df` written once, as a compressed table in the shared folder, and read from there: lineage ends, and a lost executor costs nothing that was written."""
-    app = df.sparkSession.sparkContext.applicationId
+    return scratch(df.sparkSession).write(df)
+
+
+def scratch(spark: SparkSession) -> Scratch:
+    """The scratch folder of an application."""
+    app = spark.sparkContext.applicationId
     if app not in _SCRATCH:
-        _SCRATCH[app] = Scratch(df.sparkSession)
-    return _SCRATCH[app].write(df)
+        _SCRATCH[app] = Scratch(spark)
+    return _SCRATCH[app]
 
 
 def discard(*tables: DataFrame) -> None:

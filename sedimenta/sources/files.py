@@ -15,6 +15,7 @@ import io
 import json
 import lzma
 import re
+import struct
 import tarfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -227,24 +228,50 @@ READERS: dict[str, Callable[[bytes], list[Section]]] = {
 }
 
 
-def _unpack(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
-    """The members of an archive, or the one content of a compressed file; names that lead out of it are refused."""
+def _unpack(name: str, data: bytes) -> Iterator[tuple[str, bytes | None, str]]:
+    """(name, content, why not) of each member of an archive, or of the one content of a compressed file: what can't be read has no content but a reason."""
     low = name.lower()
+    large = f"larger than {MAX_BYTES} bytes"
     if low.endswith(".zip"):
         with zipfile.ZipFile(io.BytesIO(data)) as z:
-            yield from ((i.filename, z.read(i)) for i in z.infolist() if not i.is_dir() and i.file_size <= MAX_BYTES and not i.flag_bits & 1)
+            for i in z.infolist():
+                if not i.is_dir():
+                    why = "encrypted" if i.flag_bits & 1 else large if i.file_size > MAX_BYTES else ""
+                    yield i.filename, None if why else z.read(i), why
     elif low.endswith((".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tar.xz")):
         with tarfile.open(fileobj=io.BytesIO(data)) as t:
-            yield from ((m.name, t.extractfile(m).read()) for m in t if m.isfile() and m.size <= MAX_BYTES)
+            for m in t:
+                if not m.isdir():
+                    why = "not a regular file" if not m.isfile() else large if m.size > MAX_BYTES else ""
+                    yield m.name, None if why else t.extractfile(m).read(), why
     else:
         opener = {"gz": gzip.open, "bz2": bz2.open, "xz": lzma.open}[low.rpartition(".")[2]]
         with opener(io.BytesIO(data)) as f:
-            yield name.rpartition(".")[0], f.read(MAX_BYTES)
+            content = f.read(MAX_BYTES + 1)
+            yield name.rpartition(".")[0], None if len(content) > MAX_BYTES else content, large if len(content) > MAX_BYTES else ""
 
 
+#: Numbers of AppleDouble entries.
+APPLE_ENTRIES = {1: "data fork", 2: "resource fork", 3: "real name", 4: "comment", 8: "dates", 9: "finder info", 10: "macintosh info", 14: "afp short name"}
 ARCHIVES = ("zip", "tar", "gz", "tgz", "bz2", "xz")
 
 
+def appledouble(data: bytes) -> list[Section]:
+    """Entries of an AppleDouble file (`._name`): kinds and sizes, and the comment and real name as text."""
+    magic, _, _, count = struct.unpack(">II16sH", data[:26])
+    if magic != 0x00051607:
+        raise ValueError("not AppleDouble")
+    out: list[Section] = []
+    for i in range(count):
+        entry, start, size = struct.unpack(">III", data[26 + 12 * i : 38 + 12 * i])
+        if start + size > len(data):
+            raise ValueError("an entry ends beyond the file")
+        kind = APPLE_ENTRIES.get(entry, f"entry {entry}")
+        text = data[start : start + size].decode("utf-8", errors="replace") if entry in (3, 4) else str(size)
+        out.append((kind, text))
+    return out
+
+
 def _mail(data: bytes) -> tuple[list[Section], list[tuple[str, bytes]]]:
     """Headers and text of an e-mail, and its attachments."""
     message = email.message_from_bytes(data, policy=email.policy.default)
@@ -271,7 +298,7 @@ Row = tuple[str, int, str | None, str, str | None, str]  # part, ordinal, kind,
 def read_file(name: str, data: bytes) -> list[tuple[str, int, str, str, str, str]]:
     """(part, ordinal, kind, text, status, warning) of a file and everything in it; part: the path of members, empty for the file itself.
 
-    A file that can't be read has one row with the status failed; one of an unknown format is unsupported, an empty one empty.
+    A file or member that can't be read, is encrypted or too large has one row with the status failed; one of an unknown format is unsupported, an empty one empty.
     """
     out: list[tuple[str, int, str, str, str, str]] = []
     budget = {"members": MAX_MEMBERS, "bytes": MAX_BYTES}
@@ -287,9 +314,12 @@ def read_file(name: str, data: bytes) -> list[tuple[str, int, str, str, str, str
             out.append((part, 0, "", "", "empty", ""))
             return
         try:
-            members: list[tuple[str, bytes]] | Iterator = []
-            if suffix == "eml":
-                sections, members = _mail(data)
+            members: Iterator | list[tuple[str, bytes | None, str]] = []
+            if name.rpartition("/")[2].startswith("._"):
+                sections = appledouble(data)
+            elif suffix == "eml":
+                sections, attached = _mail(data)
+                members = [(n, x, "") for n, x in attached]
             elif suffix in ARCHIVES:
                 sections, members = [], _unpack(name, data)
             elif suffix in READERS:
@@ -298,8 +328,10 @@ def read_file(name: str, data: bytes) -> list[tuple[str, int, str, str, str, str
                 out.append((part, 0, "", "", "unsupported", ""))
                 return
             out.extend((part, n, kind, text, "ready", "") for n, (kind, text) in enumerate(sections))
-            for member, content in members:
-                if member.startswith(("/", "\\")) or ".." in re.split(r"[/\\]", member):
+            for member, content, why in members:
+                if content is None:
+                    out.append((f"{part}/{member}".lstrip("/"), 0, "", "", "failed", why))
+                elif member.startswith(("/", "\\")) or ".." in re.split(r"[/\\]", member):
                     out.append((f"{part}/{member}".lstrip("/"), 0, "", "", "failed", "unsafe path"))
                 else:
                     visit(f"{part}/{member}".lstrip("/"), member, content, depth + 1)

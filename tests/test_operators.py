@@ -6,7 +6,8 @@ import random
 from pyspark.sql import functions as F
 
 from sedimenta.functions import text as X
-from sedimenta.operators import dedup, evaluation, folds, graph, knowledge, lexical, ranking, review, segments
+from sedimenta.operators import dedup, evaluation, folds, graph, knowledge, lexical, links, ranking, review, segments
+from sedimenta.session import scratch
 
 
 def test_text_functions(spark):
@@ -27,17 +28,44 @@ def test_literal_hits_overlap_and_escape(spark):
 
 def test_phrases_with_repeated_words(spark):
     df = spark.createDataFrame([(1, "no no no yes"), (2, "no yes no"), (3, "No, no! YES")], "k int, text string")
-    assert {tuple(r) for r in lexical.phrase_matches(df, ["no", "no"], "k").collect()} == {(1, 2), (3, 1)}
+    index = lexical.freeze(df, "k", scratch(spark))
+    assert {tuple(r) for r in lexical.phrase_matches(index, ["no", "no"]).collect()} == {(1, 2), (3, 1)}
+    assert {tuple(r) for r in lexical.phrase_matches(index, ["no", "yes"]).collect()} == {(1, 1), (2, 1), (3, 1)}
+    assert lexical.phrase_matches(index, ["yes", "yes"]).collect() == [] and lexical.phrase_matches(index, ["absent"]).collect() == []
+
+
+def test_frozen_index_reads_the_folders_of_its_terms_alone(spark):
+    texts = ["a b b c", "B d", None, "", "c " * 500, "ä-ö é_x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, text string").selectExpr("*", "'x' AS term", "1 AS dl")
+    index = lexical.freeze(df, "k", scratch(spark))
+    assert {(r.k, r.term, r.dl, r.tf) for r in index.postings.collect()} == {(0, "a", 4, 1), (0, "b", 4, 2), (0, "c", 4, 1), (1, "b", 2, 1), (1, "d", 2, 1), (4, "c", 500, 500), (5, "ä", 4, 1), (5, "ö", 4, 1), (5, "é", 4, 1), (5, "x", 4, 1)}
+    assert {r.term: r.bucket for r in index.postings.collect()} == {t: lexical.bucket_of(t) for t in ("a", "b", "c", "d", "ä", "ö", "é", "x")}
+    assert index.statistics.collect()[0].n == 5
+    plan = index.hits(["b"])._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and "bucket#" in plan.split("PartitionFilters")[-1]
+    assert [r.k for r in lexical.bm25_search(index, ["b", "d"], 5).collect()] == [1, 0] and lexical.bm25_search(index, ["zz"], 5).collect() == []
+    empty = lexical.freeze(df.limit(0), "k", scratch(spark))
+    assert lexical.bm25_search(empty, ["b"], 5).collect() == []
+
+
+def test_ranks_of_spread_groups_are_those_of_one_sort(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice("xxxxy"), rng.randrange(50)) for i in range(2000)]
+    got = {(r.k, r.rank) for r in lexical.ranked(spark.createDataFrame(rows, "k int, g string, s int").repartition(5), [F.desc("s"), "k"], ["g"]).collect()}
+    want = set()
+    for g in "xy":
+        want |= {(r[0], n) for n, r in enumerate(sorted((r for r in rows if r[1] == g), key=lambda r: (-r[2], r[0])), 1)}
+    assert got == want
 
 
 def test_budget_packing_skips_and_goes_on(spark):
     rng = random.Random(4)
     rows = [(g, i, rng.randrange(1, 60)) for g in "ab" for i in range(40)]
-    got = {(r.g, r.i) for r in ranking.packed(spark.createDataFrame(rows, "g string, i bigint, s bigint"), "i", "s", 200, 30, "i", "g").collect()}
+    got = {(r.g, r.i) for r in ranking.packed(spark.createDataFrame(rows, "g string, i bigint, s bigint"), "i", "s", 200, "i", "g").collect()}
     want = set()
     for g in "ab":
         used = 0
-        for _, i, s in sorted(r for r in rows if r[0] == g)[:30]:
+        for _, i, s in sorted(r for r in rows if r[0] == g):
             if used + s <= 200:
                 used += s
                 want.add((g, i))
@@ -52,7 +80,9 @@ def test_batches(spark):
 
 def test_facets_and_paging(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "c"), (2, "d"), (3, "a")], "k int, f string")
-    assert ranking.facet_cover(df, "k", "f", 5) == [2, 1]
+    assert [tuple(r) for r in ranking.facet_cover(df, "k", "f", 5).orderBy("place").collect()] == [(2, 0, 3), (1, 1, 1)]
+    relevant = df.withColumn("r", F.when(F.col("k") == 3, 9).otherwise(1))
+    assert [r.k for r in ranking.facet_cover(relevant, "k", "f", 5, "r").orderBy("place").collect()] == [2, 3] and ranking.facet_cover(df.limit(0), "k", "f", 5).collect() == []
     first = ranking.page(df.select("k").distinct(), "k", None, 2).collect()
     assert [(r.k, r.remaining) for r in first] == [(1, 1), (2, 1)] and ranking.page(df.select("k").distinct(), "k", 3, 2).collect() == []
     cursors = [r[0] for r in df.select(ranking.page_cursor("scope", F.col("k"))).distinct().collect()]
@@ -234,8 +264,22 @@ def test_routes_and_expansion(spark):
     rows = [("s1", "d1", 0, "red fox REF-1"), ("s2", "d1", 1, "nothing"), ("s3", "d2", 0, "blue bird"), ("s4", "d3", 0, "red bird"), ("s5", "d4", 0, "")]
     s = spark.createDataFrame(rows, "id string, document string, ordinal bigint, text string")
     links = spark.createDataFrame([("d1", "d2"), ("d2", "d1")], "node string, other string")
-    got = {r.id: r.routes for r in retrieval.hybrid(s, links, "find REF-1", ["fox", "red"], ["red fox"], r"REF-\d+").collect()}
-    assert got["s1"] >= 3 and got["s2"] >= 1 and got["s3"] >= 1 and "s5" not in got
+    index = lexical.freeze(s.select("id", "text"), "id", scratch(spark))
+    concepts = spark.createDataFrame([("fox", "fox"), ("fox", "fuchs")], "concept string, surface string")
+    vectors = spark.createDataFrame([("s4", [1.0, 0.0]), ("s4", [0.0, 1.0]), ("s1", [0.0, -1.0]), ("s2", [0.0, 0.0])], "id string, vector array<double>")
+    asked = spark.createDataFrame([([0.0, 2.0],)], "vector array<double>")
+    claims = spark.createDataFrame([("s1", "REF-1", "seen"), ("s5", "REF-1", "seen"), ("s3", "REF-2", "seen")], "id string, entity string, predicate string")
+    found = retrieval.hybrid(s, index, links, concepts, vectors, asked, claims, "find REF-1", ["fox", "red"], ["red fox"], r"REF-\d+", most=1)
+    by = {}
+    for r in found.routes.collect():
+        by.setdefault(r.route, []).append((r.pos, r.id))
+    by = {k: [i for _, i in sorted(v)] for k, v in by.items()}
+    assert by["lexical"] == ["s1", "s4"] and by["concept"] == by["literal"] == by["identifier"] == ["s1"] and by["dense"] == ["s4", "s1"]
+    assert by["claim_context"] == ["s1", "s5"] and by["structural"] == ["s2"] and "explicit_graph" not in by and {r.node for r in found.pending.collect()} == {"d2", "d3", "d4"}
+    wide = retrieval.hybrid(s, index, links, concepts, vectors, asked, claims, "find REF-1", ["fox", "red"], ["red fox"], r"REF-\d+", seeds=1)
+    assert {r.id for r in wide.routes.filter("route = 'explicit_graph'").collect()} == {"s3"} and wide.pending.collect() == []
+    counts = {r.route: r.n for r in retrieval.accounting(wide.routes, s, wide.pending, links.limit(0), reranked=3).collect()}
+    assert counts["union"] == 5 and counts["not discovered"] == 0 and counts["unreranked"] == 2 and counts["pending"] == counts["unresolved links"] == 0
     relevance = spark.createDataFrame([("d1", 0.8), ("d2", 0.2), ("d3", 0.4)], "document string, relevance double")
     assert {r.document: (r.score, r.reason) for r in retrieval.expansion(relevance, links).collect()} == {"d1": (0.8, "own"), "d2": (0.81, "link"), "d3": (0.4, "own")}
     assert retrieval.question_terms("Who saw the Red fox?", {"who", "the"}) == ["fox", "red", "saw"]
@@ -255,7 +299,7 @@ def test_review(spark):
 
 def test_budget_packing_tries_all_rows_of_a_group(spark):
     rows = [("a", i, 60 if i else 50) for i in range(300)] + [("a", 300, 50), ("a", 301, 1), ("b", 1, 101), ("b", 2, None), ("b", 3, 100), (None, 4, 7)]
-    got = {tuple(r) for r in ranking.packed(spark.createDataFrame(rows, "g string, i bigint, s bigint"), "i", "s", 100, None, "i", "g").collect()}
+    got = {tuple(r) for r in ranking.packed(spark.createDataFrame(rows, "g string, i bigint, s bigint"), "i", "s", 100, "i", "g").collect()}
     assert got == {("a", 0), ("a", 300), ("b", 3), (None, 4)}
 
 
@@ -265,3 +309,61 @@ def test_budget_pack_query_loses_no_document_of_a_large_source(spark, monkeypatc
     rows = [(i, "s", 4000) for i in range(300)] + [(300, "s", 2000)]
     monkeypatch.setattr(plans, "_ranked", lambda s, d: s.createDataFrame(rows, "doc_id bigint, source string, n bigint"))
     assert {r.doc_id for r in plans.w9_budget_pack(spark, "").collect()} == {0, 300}
+
+
+def test_related_items_whatever_their_features_weigh(spark):
+    rows = [(f"d{i}", "other", "hot") for i in range(60)] + [("d0", "identifier", "REF-1"), ("d1", "identifier", "REF-1"), ("d0", "paragraph", "p"), ("d2", "paragraph", "p"), ("d0", "other", "hot"), ("d0", "identifier", None), (None, "identifier", "REF-1")]
+    occurrences = spark.createDataFrame(rows, "item string, kind string, feature string").withColumn("other", F.lit("x"))
+    near = graph.adjacency(spark.createDataFrame([("d0", "d3"), ("d0", "d0"), ("far", "d0")], "a string, b string"), "a", "b")
+    got = {r.other: (r.tier, r.shared, r.linked) for r in graph.related(occurrences, near, spark.createDataFrame([("d0",)], "item string")).collect()}
+    assert len(got) == 60 and got["d1"] == (1, 2, False) and got["d2"] == (2, 2, False) and got["d3"] == (0, 1, True) and got["far"] == (0, 0, True) and got["d9"] == (3, 1, False)
+    assert {r.f for r in graph.shared_by(occurrences.select("item", F.col("feature").alias("f")), "d0", "d1", "item", "f").collect()} == {"hot", "REF-1"}
+
+
+def test_interval_conflicts_against_all_pairs(spark):
+    from datetime import date, timedelta
+
+    rng = random.Random(5)
+    day = lambda n: date(2031, 1, 1) + timedelta(days=n)
+    rows = []
+    for k in range(120):
+        start = rng.randrange(200)
+        rows.append((k, rng.choice(["e", "f", None]), rng.choice("+-"), day(start), rng.choice([None, day(start), day(start + rng.randrange(60))])))
+    rows.append((999, "e", "+", day(5), day(1)))
+    df = spark.createDataFrame(rows, "k int, e string, p string, s date, t date")
+    last = lambda t: t or date(9999, 12, 31)
+    want = {(a[0], b[0], max(a[3], b[3]), min(last(a[4]), last(b[4])), max(a[3], b[3]) == min(last(a[4]), last(b[4]))) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[2] != b[2] and 999 not in (a[0], b[0]) and max(a[3], b[3]) <= min(last(a[4]), last(b[4]))}
+    got = [tuple(r) for r in graph.interval_conflicts(df, ["e"], "k", "s", "t", F.col("l.p") != F.col("r.p")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_chains_are_made_as_they_are_checked(spark):
+    rows = [(u, i, f"p{i % 3}") for u in "ab" for i in range(50)]
+    made = review.chained(spark.createDataFrame(rows, "u string, i int, p string"), "u", "i", "p")
+    assert made.count() == 100 and review.chain_breaks(made, ["u"], "i", F.col("p"), "hash", "prev").collect() == []
+    broken = made.withColumn("p", F.when(F.col("i") == 7, "other").otherwise(F.col("p")))
+    assert {tuple(r) for r in review.chain_breaks(broken, ["u"], "i", F.col("p"), "hash", "prev").collect()} == {("a", 7), ("b", 7)}
+
+
+def test_pages_by_rows_and_bytes(spark):
+    import pytest
+
+    df = spark.createDataFrame([(i, 10 * i) for i in range(1, 8)], "k int, n int")
+    page = lambda after, limit, most: links.page(df, "k", F.col("n"), "s", after, limit, most).orderBy("k").collect()
+    first = page(None, 3, 1000)
+    assert [(r.k, r.total, r.remaining) for r in first] == [(1, 7, 4), (2, 7, 4), (3, 7, 4)] and links.cursor_key(first[0].next_cursor, "s") == "3"
+    assert [r.k for r in page(3, 9, 95)] == [4, 5] and page(7, 3, 100) == [] and [(r.k, r.remaining) for r in page(5, 3, 20)] == [(6, -1)]
+    last = page(5, 9, 1000)
+    assert [(r.k, r.remaining, r.next_cursor) for r in last] == [(6, 0, None), (7, 0, None)]
+    with pytest.raises(ValueError):
+        links.cursor_key(first[0].next_cursor, "other")
+
+
+def test_paths_and_days(spark):
+    uris = ["file:///v/a%20b/c+d.txt", "file:///v/../x", "file:///v/a/..", "file:///w/a", "http://v/a", None, "file:///v//a"]
+    df = spark.createDataFrame([(u,) for u in uris], "u string")
+    assert [r[0] for r in df.select(X.relative_path(F.col("u"), "/v")).collect()] == ["a b/c+d.txt", None, None, None, None, None, None]
+    days = spark.createDataFrame([("2031-01-01", "2031-01-01", True), ("2031-01-01", "2031-01-02", True), ("2031-01-03", "2031-01-02", True), (None, "2031-01-02", True), (None, None, False)], "a string, b string, r boolean")
+    got = [r[0] for r in days.select(X.day_relation(F.col("a").cast("date"), F.col("b").cast("date"), F.col("r"))).collect()]
+    assert got == ["same", "before", "after", "unknown", "not_required"]
+    assert spark.range(1).select(X.canonical_json(F.struct(F.lit(1).alias("a"), F.lit(None).cast("string").alias("b"), F.lit('x"y').alias("c")))).collect()[0][0] == '{"a":1,"b":null,"c":"x\\"y"}'
