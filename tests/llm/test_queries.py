@@ -10,6 +10,10 @@ from sedimenta.llm import queries
 FOLDER = "/root/testdata/sf0.001"
 
 
+def plain(rows):
+    return sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query(spark, name):
     df = queries.QUERIES[name](spark, FOLDER)
@@ -25,4 +29,4 @@ def test_query(spark, name):
         names = [c[0] for c in result.description]
         order = sorted(range(len(names)), key=names.__getitem__)
         assert sorted(names) == sorted(df.columns)
-        assert sorted(got) == sorted(tuple(r[i] for i in order) for r in result.fetchall())
+        assert plain(got) == plain(tuple(r[i] for i in order) for r in result.fetchall())
