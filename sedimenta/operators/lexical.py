@@ -22,7 +22,7 @@ from sedimenta.session import Scratch, checkpoint, ship
 
 K1, B = 1.2, 0.75
 #: Folders of an index, and files that the postings of one term are spread over.
-BUCKETS, SPREAD = 64, 4
+BUCKETS, SPREAD = 16, 4
 
 
 @dataclass(frozen=True)

@@ -118,23 +118,24 @@ def within_budget(ranked: DataFrame, size: Column, budget: int, order: list, by:
     return ranked.withColumn("used", F.sum(size).over(w).cast("bigint")).filter(F.col("used") <= budget)
 
 
-def packed(ranked: DataFrame, key: str, size: str, budget: int, order: str, by: str) -> DataFrame:
-    """(`by`, `key`): of each group, in order, each row that still fits: one that is too large is skipped and later ones are tried.
+def packed(ranked: DataFrame, key: str, size: str, budget: int, order: str, by: str, limit: int | None = None) -> DataFrame:
+    """(`by`, `key`): of each group, in order, each row that still fits, up to `limit` rows if there is one: one that is too large is skipped and later ones are tried.
 
     One pass over the sorted rows of each group that holds what is used so far alone, so a group's size doesn't matter.
     """
     ship(ranked.sparkSession)
-    rows = ranked.select(F.col(by).alias("g"), F.col(key).cast("bigint").alias("k"), F.col(size).cast("bigint").alias("s"), F.col(order).alias("o"))
+    rows = ranked.select(F.col(by).alias("g"), F.col(key).alias("k"), F.col(size).cast("bigint").alias("s"), F.col(order).alias("o"))
 
     def fold(batches):
-        group, used = object(), 0
+        group, used, taken = object(), 0, 0
         for b in batches:
             take = []
             for i, (g, s) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 if g != group:
-                    group, used = g, 0
-                if used + s <= budget:
+                    group, used, taken = g, 0, 0
+                if used + s <= budget and (limit is None or taken < limit):
                     used += s
+                    taken += 1
                     take.append(i)
             yield b.select([0, 1]).take(pa.array(take, pa.int64()))
 

@@ -15,6 +15,19 @@ from sedimenta.session import ship
 GENESIS = "0" * 64
 
 
+def pad(key: str, byte: int) -> str:
+    """A key of HMAC-SHA256 as one of its two paddings, in hex."""
+    raw = key.encode()
+    raw = hashlib.sha256(raw).digest() if len(raw) > 64 else raw
+    return bytes(x ^ byte for x in raw.ljust(64, b"\0")).hex()
+
+
+def signature(payload: Column, key: str) -> Column:
+    """HMAC-SHA256 of a text, in hex, by built-in functions alone."""
+    inner = F.unhex(F.sha2(F.concat(F.unhex(F.lit(pad(key, 0x36))), F.encode(payload, "UTF-8")), 256))
+    return F.sha2(F.concat(F.unhex(F.lit(pad(key, 0x5C))), inner), 256)
+
+
 def link_hash(payload: Column, previous: Column) -> Column:
     """The hash that a record of a chain has."""
     return F.sha2(F.concat(previous, F.lit("|"), payload), 256)

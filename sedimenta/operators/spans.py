@@ -88,3 +88,8 @@ def quotations(items: DataFrame, key: str, text: str = "text") -> DataFrame:
 def folded_texts(items: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(`key`, folded): texts in NFC, casefolded."""
     return _mapped(items, key, text, lambda t: [(folded(t),)], ["folded"], [pa.string()], "folded string")
+
+
+def compatible_words(items: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(`key`, words): the words of each text in NFKC, casefolded, joined by spaces."""
+    return _mapped(items, key, text, lambda t: [(" ".join(re.findall(r"[^\W_]+", unicodedata.normalize("NFKC", t).casefold())),)], ["words"], [pa.string()], "words string")

@@ -6,7 +6,7 @@ test against plain Python instead.
 
 from __future__ import annotations
 
-from sedimenta.plans import analytics, evidence, further, graphs, ledgers, links, ranking, retrieval, streams, texts  # noqa: F401  (importing registers)
+from sedimenta.plans import analytics, evidence, further, graphs, ledgers, links, policies, ranking, retrieval, signals, streams, texts  # noqa: F401  (importing registers)
 from sedimenta.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

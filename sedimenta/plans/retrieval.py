@@ -82,10 +82,13 @@ def frozen(spark, d):
 
 def _claims(spark, d):
     """(id, entity, predicate, polarity): what a segment says of the identifiers in it, in patterns of few words."""
-    entities = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b(?:REF|INV|LOT|DN|AX|CASE)-\d+\b"), F.lit(0))))
-    said = F.explode(F.array_compact(F.array(*(F.when(F.lower("text").rlike(p), F.lit(k)) for k, p in PREDICATES.items()))))
-    polarity = F.when(F.lower("text").rlike(_NOT), "negative").otherwise("positive")
-    return _segments(spark, d).select("id", "text", entities.alias("entity")).select("id", "entity", said.alias("predicate"), polarity.alias("polarity")).distinct()
+    # Each pattern is tried once a text, before it is taken apart.
+    low = F.lower("text")
+    entities = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b(?:REF|INV|LOT|DN|AX|CASE)-\d+\b"), F.lit(0)))
+    of = _segments(spark, d).select("id", "text", entities.alias("entities")).filter("size(entities) > 0")
+    said = F.array_compact(F.array(*(F.when(low.rlike(p), F.lit(k)) for k, p in PREDICATES.items())))
+    read = of.select("id", "entities", said.alias("said"), F.when(low.rlike(_NOT), "negative").otherwise("positive").alias("polarity"))
+    return read.select("id", F.explode("entities").alias("entity"), "said", "polarity").select("id", "entity", F.explode("said").alias("predicate"), "polarity")
 
 
 def _vectors(spark, d):

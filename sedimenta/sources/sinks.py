@@ -35,3 +35,13 @@ def write_markdown(df: DataFrame, path: str) -> None:
     """A table's rows as lines of a Markdown table, in files below `path`."""
     cell = lambda c: F.coalesce(F.replace(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")), F.lit(""))
     df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *(cell(c) for c in df.columns)), F.lit(" |")).alias("value")).write.text(path)
+
+
+def upserted(stored: DataFrame, loaded: DataFrame, keys: list[str]) -> DataFrame:
+    """`stored` with the rows of `loaded` in the place of those with the same keys, and `change`: inserted, updated or kept. Both have the same columns; keys are unique and not null in each."""
+    others = [c for c in stored.columns if c not in keys]
+    old = stored.select(*keys, F.struct(*others).alias("_old"))
+    new = loaded.select(*keys, F.struct(*others).alias("_new"))
+    change = F.when(F.col("_old").isNull(), "inserted").when(F.col("_new").isNull(), "kept").otherwise("updated")
+    both = old.join(new, keys, "full").select(*keys, F.coalesce("_new", "_old").alias("_r"), change.alias("change"))
+    return both.select(*keys, *(F.col(f"_r.{c}").alias(c) for c in others), "change")

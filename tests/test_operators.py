@@ -367,3 +367,45 @@ def test_paths_and_days(spark):
     got = [r[0] for r in days.select(X.day_relation(F.col("a").cast("date"), F.col("b").cast("date"), F.col("r"))).collect()]
     assert got == ["same", "before", "after", "unknown", "not_required"]
     assert spark.range(1).select(X.canonical_json(F.struct(F.lit(1).alias("a"), F.lit(None).cast("string").alias("b"), F.lit('x"y').alias("c")))).collect()[0][0] == '{"a":1,"b":null,"c":"x\\"y"}'
+
+
+def test_signatures_are_those_of_hmac(spark):
+    import hmac
+
+    texts = ["", "a|b", "Grüße " * 50, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for key in ("k", "a longer key " * 9):
+        got = [r[0] for r in df.select(review.signature(F.col("t"), key)).collect()]
+        assert got == [None if t is None else hmac.new(key.encode(), t.encode(), "sha256").hexdigest() for t in texts]
+
+
+def test_upserts_and_compatible_words(spark):
+    from sedimenta.operators import spans
+    from sedimenta.sources import sinks
+
+    old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (3, None)], "k int, v string")
+    assert {tuple(r) for r in sinks.upserted(old, new, ["k"]).collect()} == {(1, "a", "kept"), (2, "c", "updated"), (3, None, "inserted")}
+    df = spark.createDataFrame([(1, "ﬁle Ａ-１ Straße\u00a0x²"), (2, ""), (3, None)], "k int, text string")
+    assert {tuple(r) for r in spans.compatible_words(df, "k").collect()} == {(1, "file a 1 strasse x2"), (2, "")}
+
+
+def test_discovery_and_plan_candidates(spark):
+    from math import log
+
+    from sedimenta.operators import policies
+
+    rows = [("s1", "d1", "red fox runs"), ("s2", "d1", "nothing"), ("s3", "d2", "blue bird"), ("s4", "d3", "red bird"), ("s5", "d4", "plain"), ("s6", "d5", "plain")]
+    units = spark.createDataFrame(rows, "id string, document string, text string")
+    index = lexical.freeze(units.select("id", "text"), "id", scratch(spark))
+    near = spark.createDataFrame([("d1", "d2"), ("d2", "d1"), ("d1", "d1")], "node string, other string")
+    features = spark.createDataFrame([("d1", "REF-1"), ("d4", "REF-1"), ("d1", "REF-2"), ("d2", "REF-3")], "document string, feature string")
+    got = {r.id: (r.score, r.reason, r.terms) for r in policies.discovery(index, units, near, features, ["red", "fox"]).collect()}
+    w = {"red": 1 + log(6 / 3), "fox": 1 + log(6 / 2)}
+    red = w["red"] / sum(w.values())
+    assert set(got) == {"s1", "s3", "s4", "s5"} and got["s1"] == (1.0, "own", 2) and got["s3"] == (0.95, "link", 0) and got["s5"] == (round(0.65 + 0.35 / 2, 6), "feature", 0) and got["s4"] == (round(red, 6), "own", 1)
+    found = {r.id: (r.document, r.score, r.strong) for r in policies.plan_candidates(index, units, near, ["red", "fox"], {"red fox": 3}).collect()}
+    best = w["red"] / 61 + w["fox"] / 61 + 1 + 3 * (1 + log(6 / 2)) / 61
+    longer = w["red"] / 62 + w["fox"] / 61 + 1 + 3 * (1 + log(6 / 2)) / 61  # the shorter text comes first for "red"
+    assert found["s1"][1] in (round(best, 6), round(longer, 6)) and found["s1"][2] and found["s2"] == ("d1", 0.0, True) and abs(found["s3"][1] - 0.85 * found["s1"][1]) < 1e-5 and not found["s3"][2] and "s5" not in found
+    turns = {(r.id, r.turn) for r in policies.in_turn(policies.plan_candidates(index, units, near, ["red", "fox"], {})).collect()}
+    assert ("s1", 0) in turns and ("s2", 1) in turns
