@@ -45,6 +45,14 @@ def _scores(spark, d):
     return lexical.bm25_scores(frozen(spark, d), TERMS)
 
 
+@query(f"WITH {_INDEX} SELECT (SELECT count(*) FROM w) AS n, round((SELECT avg(len(w)) FROM w), 6) AS avgdl, count(*) AS postings, count(DISTINCT term) AS terms FROM i")
+def t5_frozen_index(spark, d):
+    """The index of all documents, written once: how many documents, postings and terms it has, and their mean length."""
+    index = frozen(spark, d)
+    counts = index.postings.groupBy("term").agg(F.count("*").alias("n")).agg(F.sum("n").alias("postings"), F.count("*").alias("terms"))
+    return index.statistics.select("n", F.round("avgdl", 6).alias("avgdl")).crossJoin(counts)
+
+
 @query(f"WITH {_BM25} SELECT doc_id, round(sum(score), 6) AS score, count(*) AS matched FROM s GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 10")
 def t4_bm25_topk(spark, d):
     """The ten best documents for three terms."""

@@ -110,6 +110,13 @@ def _hybrid(spark, d):
     return retrieval.hybrid(_segments(spark, d), frozen(spark, d), _links(spark, d), _concepts(spark, QUESTION), vectors, asked, _claims(spark, d), QUESTION, TERMS, PROBES, GRAMMAR)
 
 
+@query(rf"""WITH {_SEG}, w AS (SELECT id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM g), t AS (SELECT id, unnest(w) AS term FROM w) SELECT (SELECT count(*) FROM w) AS n, count(*) AS postings FROM (SELECT DISTINCT id, term FROM t)""")
+def t5_frozen_segments(spark, d):
+    """The index of all segments, written once: how many segments and postings it has."""
+    index = frozen(spark, d)
+    return index.statistics.select("n").crossJoin(index.postings.agg(F.count("*").alias("postings")))
+
+
 @query(f"WITH {_ROUTES} SELECT id, round(sum(1.0::DOUBLE / (60 + pos)), 9) AS score, count(*) AS routes FROM u4 GROUP BY 1")
 def t10_hybrid_fusion(spark, d):
     """Segments by eight fused routes, three of which start from what the others found."""
