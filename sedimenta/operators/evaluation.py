@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sedimenta.session import checkpoint, ship
+
 
 def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Lower and upper end of the Wilson interval of a share, within 0 and 1; null for n = 0."""
@@ -47,21 +52,39 @@ def bootstrap_interval(clusters: DataFrame, key: str, value: str, resamples: int
     return placed.agg(F.max(F.when(F.col("p") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("p") == high, F.col("m"))).alias("high"))
 
 
+def _pooled(rows: Iterator[tuple]) -> Iterator[list]:
+    """Blocks [sum, count, keys] of rows (key, sum, count) in order, merged while one's mean isn't below that of the next: pool adjacent violators, with a stack."""
+    stack: list[list] = []
+    for key, total, n in rows:
+        stack.append([total, n, [key]])
+        while len(stack) > 1 and stack[-2][0] * stack[-1][1] >= stack[-1][0] * stack[-2][1]:
+            total, n, keys = stack.pop()
+            stack[-1][0] += total
+            stack[-1][1] += n
+            stack[-1][2] += keys
+    return iter(stack)
+
+
+def _pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, first, s, n): of each key the first key of its block, and the block's totals."""
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    for total, n, keys in _pooled(rows):
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.float64()), pa.array([keys[0]] * len(keys), pa.float64()), pa.array([total] * len(keys), pa.float64()), pa.array([n] * len(keys), pa.int64())], names=["key", "first", "s", "n"])
+
+
 def isotonic(rows: DataFrame, score: str, outcome: str) -> DataFrame:
-    """(score, rate): the non-decreasing fit to the outcome's rate by distinct score, by the min-max formula over runs of scores.
+    """(score, rate): the non-decreasing fit to the outcome's rate by distinct score, by pooling adjacent violators.
 
-    Quadratic in distinct scores, which must be few (rounded scores); the rows are aggregated first and may be any number.
+    Rows are aggregated by score, ranges of scores are pooled each for itself, and the blocks that are left are pooled once more, in one task: merging within a range first
+    doesn't change the fit. Scores find their block's rate by an equality join. Linear in distinct scores; null scores don't count.
     """
-    points = rows.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(outcome).cast("double")).alias("s"), F.count("*").alias("n"))
-    w = W.orderBy("score").rowsBetween(W.unboundedPreceding, 0)
-    summed = points.select("score", F.sum("s").over(w).alias("cs"), F.sum("n").over(w).alias("cn"), F.col("s"), F.col("n"))
-    lo = summed.select(F.col("score").alias("lo"), (F.col("cs") - F.col("s")).alias("bs"), (F.col("cn") - F.col("n")).alias("bn"))
-    hi = summed.select(F.col("score").alias("hi"), F.col("cs").alias("es"), F.col("cn").alias("en"))
-    runs = lo.join(hi, F.col("lo") <= F.col("hi")).select("lo", "hi", ((F.col("es") - F.col("bs")) / (F.col("en") - F.col("bn"))).alias("mean"))
-    # For each score the largest, over beginnings up to it, of the smallest mean of runs that end at it or later.
-    ends = W.partitionBy("lo").orderBy(F.desc("hi"))
-    least = runs.withColumn("least", F.min("mean").over(ends)).select("lo", F.col("hi").alias("score"), "least")
-    return least.groupBy("score").agg(F.round(F.max("least"), 6).alias("rate"))
+    ship(rows.sparkSession)
+    points = rows.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("key")).agg(F.sum(F.col(outcome).cast("double")).alias("s"), F.count("*").alias("n"))
+    within = checkpoint(points.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(_pool, "key double, first double, s double, n bigint"))
+    blocks = within.filter("key = first").select("key", "s", "n")
+    merged = blocks.coalesce(1).sortWithinPartitions("key").mapInArrow(_pool, "key double, first double, s double, n bigint")
+    rates = merged.select(F.col("key").alias("first"), F.round(F.col("s") / F.col("n"), 6).alias("rate"))
+    return within.join(rates, "first").select(F.col("key").alias("score"), "rate")
 
 
 def confusion(labelled: DataFrame, actual: str, predicted: str) -> DataFrame:

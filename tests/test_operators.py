@@ -409,3 +409,21 @@ def test_discovery_and_plan_candidates(spark):
     assert found["s1"][1] in (round(best, 6), round(longer, 6)) and found["s1"][2] and found["s2"] == ("d1", 0.0, True) and abs(found["s3"][1] - 0.85 * found["s1"][1]) < 1e-5 and not found["s3"][2] and "s5" not in found
     turns = {(r.id, r.turn) for r in policies.in_turn(policies.plan_candidates(index, units, near, ["red", "fox"], {})).collect()}
     assert ("s1", 0) in turns and ("s2", 1) in turns
+
+
+def test_isotonic_fit_against_the_min_max_formula(spark):
+    rng = random.Random(11)
+    rows = [(float(k), rng.random() < k / 60) for k in range(60) for _ in range(rng.randrange(1, 6))] + [(None, True)]
+    by = {}
+    for k, hit in rows[:-1]:
+        n = by.setdefault(k, [0, 0])
+        n[0] += hit
+        n[1] += 1
+    keys = sorted(by)
+    mean = lambda i, j: sum(by[k][0] for k in keys[i : j + 1]) / sum(by[k][1] for k in keys[i : j + 1])
+    want = {float(keys[p]): round(max(min(mean(i, j) for j in range(p, len(keys))) for i in range(p + 1)), 6) for p in range(len(keys))}
+    df = spark.createDataFrame(rows, "score double, hit boolean")
+    for parts in (1, 7):
+        got = {r.score: r.rate for r in evaluation.isotonic(df.repartition(parts), "score", "hit").collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    assert evaluation.isotonic(df.limit(0), "score", "hit").collect() == []
