@@ -38,19 +38,31 @@ def t8_word_windows(spark, d):
     return s.select("doc_id", F.floor(F.col("s") / 80).alias("window_no"), F.sha2(F.array_join(F.slice("w", F.col("s") + 1, F.lit(100)), " "), 256).alias("window_id"))
 
 
-@query()
+_CUT = r"""CASE WHEN length(text) - a <= 400 THEN length(text) WHEN regexp_matches(substr(text, a + 201, 200), '\n') THEN a + 200 + length(regexp_extract(substr(text, a + 201, 200), '^(?s:.*)\n'))
+WHEN regexp_matches(substr(text, a + 201, 200), '[.!?][\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]') THEN a + 200 + length(regexp_extract(substr(text, a + 201, 200), '^(?s:.*)[.!?][\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]'))
+WHEN contains(substr(text, a + 201, 200), ' ') THEN a + 200 + length(regexp_extract(substr(text, a + 201, 200), '^(?s:.*) ')) ELSE a + 400 END"""
+
+
+@query(f"WITH RECURSIVE z AS (SELECT doc_id, text, CAST(0 AS BIGINT) AS a FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, text, a, CAST({_CUT} AS BIGINT) AS b FROM z UNION ALL SELECT doc_id, text, a, CAST({_CUT} AS BIGINT) AS b FROM (SELECT doc_id, text, b AS a FROM c WHERE b < length(text))) SELECT doc_id, a AS char_start, b AS char_end FROM c")
 def t25_citation_spans(spark, d):
     """Spans of at most 400 characters that end at lines, sentences or spaces."""
     return spans.parts(table(spark, d, "documents"), "doc_id", 400)
 
 
-@query()
+@query(
+    "WITH t AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS s FROM documents WHERE text IS NOT NULL" for k, p in GRAMMAR.items())
+    + """), i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM t), b AS (SELECT doc_id, kind, m[i] AS value, CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM i)
+SELECT doc_id, kind, value, start, start + length(value) AS "end" FROM b"""
+)
 def g2_feature_spans(spark, d):
     """Identifiers, addresses and dates with their places."""
     return spans.pattern_spans(table(spark, d, "documents"), "doc_id", GRAMMAR)
 
 
-@query()
+@query(rf"""WITH {_SEG}, t AS (SELECT id, text, regexp_extract_all(text, '["“„«][^"”“»]+["”“»]') AS m, string_split_regex(text, '["“„«][^"”“»]+["”“»]') AS s FROM g WHERE text IS NOT NULL), i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM t),
+b AS (SELECT id, text, m[i] AS m, CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM i)
+SELECT id, a + 1 AS start, a + length(m) - 1 AS "end", nullif(regexp_extract(substr(text, greatest(a - 80, 0) + 1, a - greatest(a - 80, 0)), '([A-Z][\w''-]+(?: [A-Z][\w''-]+)?)(?: (?:said|wrote|says|sagte|schrieb))?\s*[:,]\s*$', 1), '') AS speaker FROM b""")
 def k5_quotation_scopes(spark, d):
     """What stands in quotation marks, and who said it."""
     return spans.quotations(_segments(spark, d), "id")
