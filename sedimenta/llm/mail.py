@@ -4,14 +4,14 @@ Each mail is read once, in Arrow batches. Its marks (quotation signs, header blo
 the sender's name) say where text of others is likely to stand, and its text is put into sentences. What marks can't tell, repetition does:
 
 * inherited: sentences, and runs of two of them, are looked up in all earlier mail, whoever wrote it to whom, quoted parts included. Exact copies meet by a
-  hash. For the others, distinct texts get SimHash fingerprints, `TABLES` Hamming partition tables give the texts that agree with one in some partition,
-  and the Hamming and then the edit distance decide. A match takes away a sentence in doubtful position (below quoted text, or marked as an
+  hash. For the others, distinct texts meet in blocks of the same numbers and a class of lengths; what the parities of their character grams put beyond
+  the accepted distance is left out, and of the rest the edit distance decides, so each pair is found. A match takes away a sentence in doubtful position (below quoted text, or marked as an
   answer inside it). Text in no such position needs more, as people use the same phrases: two sentences in a row that stand in a row in
   an earlier mail, and are rarer than such a coincidence would be (`CHANCE`).
 * boilerplate: paragraphs that stand alone at either end of mails and hardly ever among other sentences, in a good share of the mails of those who use
-  them; paragraphs near one of these, by the same tables and edit distance, go with it.
+  them; paragraphs near one of these, by the same blocks and edit distance, go with it.
 
-Shuffled are the mails once, then distinct sentences and runs, then keys of tables; counts are combined before they are shuffled.
+Shuffled are the mails once, then distinct sentences and runs, then their parities by block; counts are combined before they are shuffled.
 """
 
 from __future__ import annotations
@@ -34,12 +34,10 @@ from sedimenta.session import checkpoint, discard, ship
 EDITS = 0.04
 #: Words from which on a sentence is compared with earlier ones.
 LEAST = 5
-#: Fingerprint: bits, in partitions of 16; so many tables are keyed by so many bits of a partition each. Hashed character grams have so many places.
-BITS, TABLES, KEYED, PLACES, GRAM = 512, 16, 14, 512, 3
-#: Bits of 64 in which table entries may differ, and bits of 256 in which fingerprints may.
-HAMMING, HAMMING_WIDE = 10, 45
-#: Texts in a table entry up to which they are compared with one another; larger entries are parted by a further partition.
-ENTRY = 64
+#: SimHash: bits, in partitions of 16; so many tables are keyed by a partition each. Hashed character grams have so many places.
+BITS, TABLES, PLACES, GRAM = 512, 16, 512, 3
+#: Texts in a block up to which one task compares them with one another; larger ones are compared in parts of that size.
+ENTRY = 20_000
 #: Most keys of the smaller side that are sent to the workers in order to leave out what can't meet them; beyond that all keys are shuffled.
 SENT_KEYS = 1_000_000
 #: A run of two sentences isn't inherited if, by how often each is written in so many sentences or more, it would occur this often by chance.
@@ -264,19 +262,25 @@ def _planes() -> np.ndarray:
     return np.random.default_rng(64).choice(np.array([-1, 1], np.float32), (PLACES, BITS))
 
 
-def simhash(texts: list[str]) -> np.ndarray:
-    """SimHash fingerprints over the character grams of each text: [texts, BITS / 16] partitions of 16 bits, as uint16. Texts shorter than a gram are filled up with spaces."""
-    texts = [t.ljust(GRAM) for t in texts]
+def _grams(texts: list[str], gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of all grams of so many characters."""
     sizes = np.array([len(t) for t in texts], np.int64)
     codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(texts)), sizes)
-    n = max(len(codes) - GRAM + 1, 0)
+    n = max(len(codes) - gram + 1, 0)
     h = np.zeros(n, np.uint64)
-    for j in range(GRAM):
+    for j in range(gram):
         h = (h ^ codes[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    whole = owner[:n] == owner[GRAM - 1 :]
-    at = owner[:n][whole] * PLACES + (h[whole] >> np.uint64(20) & np.uint64(PLACES - 1)).astype(np.int64)
+    whole = owner[:n] == owner[gram - 1 :]
+    return owner[:n][whole], h[whole]
+
+
+def simhash(texts: list[str]) -> np.ndarray:
+    """SimHash fingerprints over the character grams of each text: [texts, BITS / 16] partitions of 16 bits, as uint16. Texts shorter than a gram are filled up with spaces."""
+    texts = [t.ljust(GRAM) for t in texts]
+    owner, h = _grams(texts, GRAM)
+    at = owner * PLACES + (h >> np.uint64(20) & np.uint64(PLACES - 1)).astype(np.int64)
     counts = np.bincount(at, minlength=len(texts) * PLACES).reshape(len(texts), PLACES).astype(np.float32)
     return np.packbits(counts @ _planes() > 0, axis=1).view(np.uint16)
 
@@ -297,55 +301,176 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-def _keys(entries: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    """[texts, TABLES] as int64: the keys by the first `KEYED` bits of the entries, the table and the hash of the numbers."""
-    first = entries.view(np.uint64) >> np.uint64(64 - KEYED) | np.arange(TABLES, dtype=np.uint64) << np.uint64(KEYED)
-    return _spread(first ^ _spread(numbers)[:, None]).view(np.int64)
-
-
-_ENTRY_SQL = "id bigint, k bigint, entry bigint, meta bigint"
 #: Days and lengths in `meta` are capped at this; what is beyond compares as equal there, and exactly later.
 _CAP = (1 << 20) - 1
+#: Classes of lengths begin at these. Texts shorter than the first are near to none; each class is wider than near texts may differ in length.
+_CLASSES = [24]
+while _CLASSES[-1] < 1 << 31:
+    _CLASSES.append(int(_CLASSES[-1] * 1.17) + 1)
+_CLASSES = np.array(_CLASSES, np.int64)
+#: Groups of texts up to this size are compared all at once, larger ones in tiles of so many texts by so many.
+_SMALL, _TILE = 64, (64, 2048)
+_BLOCK_SQL = "k bigint, class int, id bigint, meta bigint, print binary"
 
 
-def _entries(only):
-    """Table entries of (id, role, size, numbers, print, since, until): key, entry, and in one number length, last and first day, and role. only: if given, the sorted keys of those that can meet anything."""
+def _gram(cls: int) -> int:
+    """Characters of a gram in the parities of a class of lengths."""
+    return 2 if _CLASSES[cls] < 200 else 3 if _CLASSES[cls] < 3000 else 5
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in (b.slice(i, 4000) for i in range(0, b.num_rows, 4000)):
-                roles, sizes, numbers = (part.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-                prints = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint16).reshape(-1, BITS // 16)
-                entries = table_keys(prints)
-                keys = _keys(entries, numbers.astype(np.int64).view(np.uint64))
-                text, tab = np.nonzero(np.ones(keys.shape, bool) if only is None else np.isin(keys, only.value))
-                since, until = (np.clip(np.nan_to_num(part.column(i).to_numpy(zero_copy_only=False).astype(float)), 0, _CAP).astype(np.int64) for i in (5, 6))
-                meta = np.minimum(sizes, _CAP).astype(np.int64) << 42 | until << 22 | since << 2 | roles.astype(np.int64)
-                columns = [part.column(0).take(pa.array(text)), pa.array(keys[text, tab]), pa.array(entries[text, tab]), pa.array(meta[text])]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "k", "entry", "meta"])
 
-    return run
+def _places(cls: int) -> int:
+    """Parities of the texts of a class, a multiple of 128."""
+    return max(256, -(-int(_CLASSES[cls]) * (_gram(cls) - 1) // 128) * 128)
+
+
+def parities(texts: list[str], gram: int, places: int) -> np.ndarray:
+    """[texts, places / 64] as uint64: for each of `places` hashed grams whether it occurs an odd number of times. An edit changes at most twice `gram` of these, one that changes the length one less."""
+    out = [np.zeros((0, places // 64), np.uint64)]
+    for start in range(0, len(texts), step := max(1, (1 << 20) // places)):
+        some = texts[start : start + step]
+        owner, h = _grams(some, gram)
+        at = owner * places + (_spread(h) >> np.uint64(20)).astype(np.int64) % places
+        odd = np.bincount(at, minlength=len(some) * places).reshape(len(some), places) & 1
+        out.append(np.packbits(odd.astype(bool), axis=1).view(np.uint64))
+    return np.concatenate(out)
 
 
-_PRINTED_SQL = "size int, numbers bigint, print binary, f0 bigint, f1 bigint, f2 bigint, f3 bigint, id bigint, role tinyint, text string"
+def _block_keys(sizes: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, class, key): the blocks of each text: that of its class of lengths, and that of the longest text it may be near to, if it is another."""
+    own = np.searchsorted(_CLASSES, sizes, "right") - 1
+    top = np.searchsorted(_CLASSES, (sizes / (1 - EDITS)).astype(np.int64) + 1, "right") - 1
+    text = np.concatenate([np.flatnonzero(own >= 0), np.flatnonzero(top != own)])
+    cls = np.concatenate([own[own >= 0], top[top != own]])
+    return text, cls, _spread(cls.astype(np.uint64) ^ _spread(numbers[text].view(np.uint64))).view(np.int64)
 
 
-def _printed(numbers: bool):
-    """The columns id, role, text and others, with the length, a hash of the numbers (0 if they don't matter), the fingerprint, and half of it again as four numbers."""
+def _blocks(numbers: bool, only=None, keys_alone: bool = False):
+    """The blocks of (id, role, text, since, until): key, class of lengths, and in one number length, last and first day, and role; the parities. only: if given, the sorted keys of those that can meet anything."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in (b.slice(i, 4000) for i in range(0, b.num_rows, 4000)):
                 texts = part.column(2).to_pylist()
-                prints = simhash(texts)
-                wide = np.ascontiguousarray(prints[:, :16]).view(np.int64)
-                nums = [_hash(_NOT_DIGITS.sub(" ", t)) if numbers else 0 for t in texts]
-                columns = [pa.array([len(t) for t in texts], pa.int32()), pa.array(nums, pa.int64()), pa.array([x.tobytes() for x in prints], pa.binary()), *(pa.array(wide[:, i]) for i in range(4))]
-                yield pa.RecordBatch.from_arrays([*columns, *part.columns], names=["size", "numbers", "print", "f0", "f1", "f2", "f3", *part.schema.names])
+                sizes = np.array([len(t) for t in texts], np.int64)
+                nums = np.array([_hash(_NOT_DIGITS.sub(" ", t).strip()) if numbers else 0 for t in texts], np.int64)
+                text, cls, keys = _block_keys(sizes, nums)
+                if keys_alone:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys)], names=["k"])
+                    continue
+                if only is not None:
+                    use = np.isin(keys, only.value)
+                    text, cls, keys = text[use], cls[use], keys[use]
+                order = np.argsort(cls, kind="stable")
+                text, cls, keys = text[order], cls[order], keys[order]
+                prints: list[bytes] = []
+                for c in np.unique(cls):
+                    prints += [x.tobytes() for x in parities([texts[i] for i in text[cls == c]], _gram(c), _places(c))]
+                since, until = (np.clip(np.nan_to_num(part.column(i).to_numpy(zero_copy_only=False).astype(float)), 0, _CAP).astype(np.int64) for i in (3, 4))
+                roles = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+                meta = np.minimum(sizes, _CAP) << 42 | until << 22 | since << 2 | roles
+                columns = [pa.array(keys), pa.array(cls.astype(np.int32)), part.column(0).take(pa.array(text)), pa.array(meta[text]), pa.array(prints, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "class", "id", "meta", "print"])
 
     return run
 
 
+def _fitting(a: np.ndarray, b: np.ndarray, ids: np.ndarray, meta: np.ndarray, prints: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs (a asks, b is asked for), by place, the ids of those whose roles, days, lengths and parities let them be near."""
+    ma, mb = meta[a], meta[b]
+    use = (ma & 1 > 0) & (mb & 2 > 0) & (mb >> 2 & _CAP <= ma >> 22 & _CAP) & (ids[a] != ids[b])
+    a, b, size, other = a[use], b[use], ma[use] >> 42, mb[use] >> 42
+    most = np.floor(np.maximum(size, other) * EDITS).astype(np.int64)
+    apart = np.abs(size - other)
+    # Lengths that are capped are compared later.
+    open_ = np.maximum(size, other) >= _CAP
+    use = (apart <= most) | open_
+    a, b, most, apart, open_ = a[use], b[use], most[use], apart[use], open_[use]
+    use = (np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64) <= 2 * gram * most - apart) | open_
+    return ids[a[use]], ids[b[use]]
+
+
+def _all_pairs(sizes: np.ndarray, *of) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The fitting pairs within small groups, that follow one another in so many rows each."""
+    ends = np.cumsum(sizes)
+    # So many groups at once that the pairs stay a bounded number.
+    for some in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(sizes**2) // 1_000_000)) + 1):
+        n = sizes[some]
+        each = np.repeat(n, n)
+        a = np.repeat(np.arange(ends[some[0]] - n[0], ends[some[-1]]), each)
+        b = np.repeat(np.repeat(ends[some] - n, n), each) + np.arange(len(a)) - np.repeat(np.cumsum(each) - each, each)
+        yield _fitting(a, b, *of)
+
+
+def _tiles(at: np.ndarray, ids: np.ndarray, meta: np.ndarray, prints: np.ndarray, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The fitting pairs within a large group: half of the parities leave out most, in tiles of texts of like length."""
+    at = at[np.argsort(meta[at] >> 42, kind="stable")]
+    asks, asked = at[meta[at] & 1 > 0], at[meta[at] & 2 > 0]
+    half = max(1, prints.shape[1] // 2)
+    lengths = meta[asked] >> 42
+    theirs = np.ascontiguousarray(prints[asked, :half].T)
+    high, wide = _TILE
+    for i in range(0, len(asks), high):
+        rows = asks[i : i + high]
+        mine = prints[rows, :half]
+        low, top = meta[rows[0]] >> 42, meta[rows[-1]] >> 42
+        longest = int(top / (1 - EDITS)) + 1
+        whole = top >= _CAP or longest >= _CAP
+        begin, end = np.searchsorted(lengths, int(low * (1 - EDITS))), len(lengths) if whole else np.searchsorted(lengths, longest, "right")
+        limit = 2 * gram * int(longest * EDITS)
+        for j in range(begin, end, wide):
+            stop = min(j + wide, end)
+            if whole:
+                a, b = (x.ravel() for x in np.indices((len(rows), stop - j)))
+            else:
+                apart = np.bitwise_count(mine[:, 0, None] ^ theirs[0, j:stop]).astype(np.uint8 if half < 4 else np.uint32)
+                for w in range(1, half):
+                    apart += np.bitwise_count(mine[:, w, None] ^ theirs[w, j:stop])
+                a, b = np.divmod(np.flatnonzero(apart.ravel() <= limit), stop - j)
+            if len(a):
+                yield _fitting(rows[a], asked[j + b], ids, meta, prints, gram)
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, old) of the fitting pairs within blocks, which come in order of class and key."""
+
+    def pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        cls, k, ids, meta = (table.column(n).to_numpy() for n in ("class", "k", "id", "meta"))
+        for c in np.unique(cls):
+            low, top = np.searchsorted(cls, [c, c + 1])
+            prints = np.frombuffer(b"".join(table.column("print").slice(low, top - low).to_pylist()), np.uint64).reshape(top - low, -1)
+            own = (ids[low:top], meta[low:top], prints, _gram(c))
+            begins = np.flatnonzero(np.r_[True, k[low + 1 : top] != k[low : top - 1]])
+            sizes = np.diff(np.r_[begins, top - low])
+            for i in np.flatnonzero(sizes > _SMALL):
+                yield from _tiles(np.arange(begins[i], begins[i] + sizes[i]), *own)
+            small = np.flatnonzero(np.repeat(sizes <= _SMALL, sizes))
+            if len(small):
+                yield from _all_pairs(sizes[sizes <= _SMALL], own[0][small], own[1][small], prints[small], own[3])
+
+    def groups() -> Iterator[pa.Table]:
+        """Tables of whole blocks; the last block of a batch may go on in the next."""
+        kept: list[pa.Table] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = pa.Table.from_batches([b])
+            last = (b.column("class")[b.num_rows - 1], b.column("k")[b.num_rows - 1])
+            ends = (b.column("class").to_numpy() != last[0].as_py()) | (b.column("k").to_numpy() != last[1].as_py())
+            if ends.any() or (kept and (kept[-1].column("class")[-1], kept[-1].column("k")[-1]) != last):
+                cut = int(np.flatnonzero(ends)[-1]) + 1 if ends.any() else 0
+                yield pa.concat_tables([*kept, new.slice(0, cut)])
+                kept = [new.slice(cut)]
+            else:
+                kept.append(new)
+        if kept:
+            yield pa.concat_tables(kept)
+
+    for table in groups():
+        for a, b in pairs(table.combine_chunks()):
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["id", "old"])
+
+
 #: Kinds of sentences that may be new.
 _FRESH = ("own", "doubt", "marked", "kept")
 #: Of a run, `lines` holds the numbers of its units.
@@ -440,73 +565,50 @@ def _near(a: Column, b: Column) -> Column:
 
 
 def near_earlier(texts: DataFrame, numbers: bool = True, timed: bool = True) -> DataFrame:
-    """(id, old, old_since): pairs of different texts within `EDITS`, from `texts`: id, text, role (1 asks, 2 is asked for, 3 both). With `numbers`, texts with different
+    """(id, old, old_since): all pairs of different texts within `EDITS`, from `texts`: id, text, role (1 asks, 2 is asked for, 3 both). With `numbers`, texts with different
     numbers (by a hash of 64 bits) aren't near: they say something else. If `timed`, texts have the columns since and until, and the old text must have been
     there before the last use of the other.
 
-    Not each pair is sure to be found (see README for the recall), but no text is left out: a table entry of more than `ENTRY` texts is parted by the
-    bits of further partitions, and one that all 64 bits don't part is compared with its smallest id.
+    Each pair is found: texts meet in blocks of the same numbers and a class of lengths, and of the pairs in a block nothing is left out but what its lengths or
+    the parities of its grams put beyond the accepted distance. Blocks of more than `ENTRY` texts are compared part by part, each part with each.
     """
     spark = texts.sparkSession
     ship(spark)
-    times = ["since", "until"] if timed else []
-    kinds = "".join(f", {t} timestamp_ntz" for t in times)
-    texts = checkpoint(texts.select("id", "role", "text", *times).mapInArrow(_printed(numbers), _PRINTED_SQL + kinds))
-    written = [texts]
     days = [F.unix_date(F.col(t).cast("date")).alias(t) if timed else F.lit(0).alias(t) for t in ("since", "until")]
-    hashed = texts.select("id", "role", "size", "numbers", "print", *days)
+    given = texts.select("id", "role", "text", *days)
     counts = {r.role: r.n for r in texts.groupBy("role").agg(F.count("*").alias("n")).collect()}
     sides = {1: counts.get(1, 0) + counts.get(3, 0), 2: counts.get(2, 0) + counts.get(3, 0)}
     few = min(sides, key=sides.get)
     only = None
-    if sides[few] * TABLES <= SENT_KEYS:
-        sent = hashed.filter(F.col("role").isin(few, 3)).mapInArrow(_entries(None), _ENTRY_SQL).select("k")
+    if 2 * sides[few] <= SENT_KEYS:
+        sent = given.filter(F.col("role").isin(few, 3)).mapInArrow(_blocks(numbers, keys_alone=True), "k bigint").distinct()
         only = spark.sparkContext.broadcast(np.unique(np.array(sent.toArrow().column(0).to_numpy(), np.int64)))
-    rows = hashed.mapInArrow(_entries(only), _ENTRY_SQL)
-    met = None
-    depth = KEYED
-    by = W.partitionBy("k")
-    while True:
-        roles = F.bit_or(F.col("meta").bitwiseAND(F.lit(3).cast("bigint"))).over(by)
-        counted = checkpoint(rows.withColumns({"n": F.count("*").over(by), "roles": roles}).filter("n > 1 AND roles = 3").drop("roles"))
-        written.append(counted)
-        met = _apart(counted.filter(F.col("n") <= ENTRY), met)
-        rows = counted.filter(F.col("n") > ENTRY).drop("n")
-        if rows.isEmpty():
-            break
-        if depth >= 62:
-            first = rows.groupBy("k").agg(F.min("id").alias("old"))
-            rest = rows.filter("meta % 4 != 2").join(first, "k").filter("id != old").select("id", "old")
-            met = met.unionByName(rest)
-            break
-        depth += 8
-        rows = rows.withColumn("k", F.xxhash64("k", F.shiftrightunsigned("entry", 64 - depth)))
-    # Texts are fetched for those pairs alone that the whole fingerprints leave.
-    prints = [f"f{i}" for i in range(4)]
-    own = texts.select("id", *prints, *times[1:])
-    old = texts.select(F.col("id").alias("old"), *(F.col(f).alias(f"old_{f}") for f in [*prints, *times[:1]]))
-    close = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"old_{f}"))) for f in prints), F.lit(0)) <= HAMMING_WIDE
-    close = met.join(own, "id").join(old, "old").filter(close & (F.col("old_since") < F.col("until")) if timed else close)
-    close = checkpoint(close.select("id", "old", *(["old_since"] if timed else [])).distinct())
-    pairs = close.join(texts.select("id", "text"), "id").join(texts.select(F.col("id").alias("old"), F.col("text").alias("old_text")), "old")
-    found = checkpoint(pairs.filter(_near(F.col("text"), F.col("old_text"))).drop("text", "old_text"))
-    written.append(close)
-    discard(*written)
+    rows = given.mapInArrow(_blocks(numbers, only), _BLOCK_SQL)
+    by = W.partitionBy("k", "class")
+    roles = F.bit_or(F.col("meta").bitwiseAND(F.lit(3).cast("bigint"))).over(by)
+    counted = rows.withColumns({"n": F.count("*").over(by), "roles": roles}).filter("n > 1 AND roles = 3")
+    parts = counted.withColumn("parts", F.ceil(F.col("n") / F.lit(ENTRY)).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    # Part i of those that ask meets part j of those that are asked for in the block (i, j).
+    role = F.col("meta").bitwiseAND(F.lit(3).cast("bigint"))
+    to = lambda i, j, bits: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), role.bitwiseAND(F.lit(bits).cast("bigint")).alias("role"))
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: j != F.col("part"))
+    spread = F.concat(F.array(to(F.col("part"), F.col("part"), 3)), F.transform(others, lambda j: to(F.col("part"), j, 1)), F.transform(others, lambda j: to(j, F.col("part"), 2)))
+    sent = parts.select(F.explode(spread).alias("to"), "k", "class", "id", "meta", "print").filter("to.role > 0")
+    meta = (F.col("meta") - role + F.col("to.role")).alias("meta")
+    blocks = sent.select(F.xxhash64("k", "to.i", "to.j").alias("k"), "class", "id", meta, "print")
+    # A fixed number of partitions: by their bytes too few would be left for the comparisons in them.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks.repartition(tasks, "k", "class").sortWithinPartitions("class", "k")
+    met = checkpoint(blocks.mapInArrow(_compared, "id bigint, old bigint").distinct())
+    own = texts.select("id", "text", *(["until"] if timed else []))
+    old = texts.select(F.col("id").alias("old"), F.col("text").alias("old_text"), *([F.col("since").alias("old_since")] if timed else []))
+    near = _near(F.col("text"), F.col("old_text"))
+    pairs = met.join(own, "id").join(old, "old").filter((F.col("old_since") < F.col("until")) & near if timed else near)
+    found = checkpoint(pairs.select("id", "old", *(["old_since"] if timed else [])))
+    discard(met)
     return found
 
 
-def _apart(entries: DataFrame, before: DataFrame | None) -> DataFrame:
-    """(id, old), after those of `before`: the pairs that share a key, one of which asks and the other is asked for and not younger, whose entries and lengths are near enough."""
-    a = entries.filter("meta % 4 != 2").select("k", "id", "entry", "meta")
-    b = entries.filter("meta % 4 != 1").select("k", F.col("id").alias("old"), F.col("entry").alias("old_entry"), F.col("meta").alias("old_meta"))
-    close = F.bit_count(F.col("entry").bitwiseXOR(F.col("old_entry"))) <= HAMMING
-    size, other = F.shiftright("meta", 42), F.shiftright("old_meta", 42)
-    day = lambda c, bits: F.shiftright(c, bits).bitwiseAND(F.lit(_CAP).cast("bigint"))
-    fits = close & (F.abs(size - other) <= _most(size, other)) & (day("old_meta", 2) <= day("meta", 22))
-    found = a.join(b, "k").filter((F.col("id") != F.col("old")) & fits).select("id", "old")
-    return found if before is None else before.unionByName(found)
-
-
 def _matches(units: DataFrame, asks: list[str], asked: list[str]) -> tuple[DataFrame, DataFrame]:
     """(id, old): texts of the kinds in `asks` and those of either kind that they are near to, themselves included if they occur again; and the occurrences of all (id, kind and the columns of units)."""
     of = units.filter(F.col("kind").isin(*asks, *asked) & (F.col("words") >= LEAST) & F.col("at").isNotNull()).withColumn("id", F.xxhash64("text"))

@@ -3,7 +3,9 @@
 import random
 from datetime import datetime
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sedimenta.llm import mail
 
@@ -171,3 +173,43 @@ def test_crowded_entries_are_parted_and_give_the_same_kind_of_result(spark, monk
     texts = spark.createDataFrame(rows, "id bigint, text string, role tinyint, since timestamp_ntz, until timestamp_ntz")
     found = {r.id for r in mail.near_earlier(texts).collect()}
     assert len(found) >= 0.9 * sum(r[2] == 3 for r in rows)
+
+
+@pytest.mark.parametrize(("entry", "small"), [(20_000, 64), (40, 64), (100, 8)])
+def test_every_text_within_the_edits_is_found(spark, monkeypatch, entry, small):
+    monkeypatch.setattr(mail, "ENTRY", entry)
+    monkeypatch.setattr(mail, "_SMALL", small)
+    rng = random.Random(11)
+    old = [" ".join(rng.choices(WORDS, k=k)) for k in [4, 5, 6, 7, 8, 9, 10, 12, 16, 20, 26, 33, 40, 52, 70, 90, 150] * 6 + [700]]
+    texts = {}
+    for t in old:
+        # As many edits as there may be, far apart; letters alone.
+        chars, most = list(t), int(len(t) * mail.EDITS)
+        for i in range(most):
+            at = next(j for j in range(i * len(t) // most, len(t)) if t[j].isalpha())
+            chars[at] = rng.choice(["x", "", chars[at] + "q"])
+        texts |= dict.fromkeys(["".join(chars), t])
+    texts |= dict.fromkeys(["12 boxes of the old papers were found", "q12 boxes of the old papers were found", "13 boxes of the old papers were found", "twelve letters and more.", "twelve letters and more..", "ten letters and no more.", "ten letters and no mores"])
+    rows = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").selectExpr("*", "CAST(3 AS tinyint) AS role").cache()
+    pairs = rows.alias("a").join(rows.alias("b"), F.expr("a.id != b.id AND abs(length(a.text) - length(b.text)) <= 0.04 * greatest(length(a.text), length(b.text)) AND regexp_extract_all(a.text, '[0-9]+', 0) = regexp_extract_all(b.text, '[0-9]+', 0)"))
+    wanted = pairs.filter("levenshtein(a.text, b.text) <= floor(greatest(length(a.text), length(b.text)) * 0.04D)").selectExpr("a.id", "b.id AS old")
+    wanted = {tuple(r) for r in wanted.collect()}
+    found = [tuple(r) for r in mail.near_earlier(rows, timed=False).collect()]
+    assert len(wanted) > 150 and set(found) == wanted and len(found) == len(wanted)
+
+
+def test_texts_that_share_all_but_a_word_are_compared_with_each_other(spark):
+    body = " and ".join([P1.lower().strip("."), P2.lower().strip("."), P3.lower().strip(".")])
+    texts = [f"{body} {a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    rows = spark.createDataFrame([(i, t, 3) for i, t in enumerate(texts)], "id bigint, text string, role tinyint")
+    assert mail.near_earlier(rows, timed=False).count() == 100 * 99
+
+
+def test_an_edit_changes_few_parities():
+    rng = random.Random(5)
+    for gram in (2, 3, 5):
+        for _ in range(60):
+            text = " ".join(rng.choices(WORDS, k=20))
+            n = rng.randrange(1, 6)
+            a, b = mail.parities([text, _misread(rng, text, n)], gram, 256)
+            assert np.bitwise_count(a ^ b).sum() <= 2 * gram * n
