@@ -5,8 +5,9 @@ left apart). Each word has a score per language: the script of its letters narro
 model of words and, for words it doesn't know, of their letter triples scores what is left. A script of none of them stands for its own language. A Viterbi path over all words of the text, on which a change of language costs much
 inside a sentence and little between sentences, labels spans of one language; the scores within a span give its confidence.
 
-The model is fitted to a bounded sample: the sentences of at most `SAMPLE` texts, labelled by the common words in them, so wrong or missing
-labels of documents don't matter. Every text is then labelled, whole, where it lies; only spans without their text are shuffled.
+The model is fitted to the sentences of all texts, labelled by the common words in them, so wrong or missing labels of documents don't matter. Words are
+counted where the texts lie, and the counts of words and triples added up in tables; what the driver gets is a row for each word seen often enough and for
+each triple. Every text is then labelled, whole, where it lies; only spans without their text are shuffled.
 """
 
 from __future__ import annotations
@@ -17,15 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sedimenta.llm.hmm import switching_path
-from sedimenta.session import ship
+from sedimenta.session import checkpoint, discard, ship
 
-#: Most texts the model is fitted to.
-SAMPLE = 4000
 #: Costs of another language within a sentence, and at the beginning of one.
 INSIDE, BETWEEN = 9.0, 2.0
 #: Words that make a sentence.
@@ -36,6 +36,12 @@ NARROW = 38
 MOST = 4.0
 #: Least share of a sentence's words that are common words of its language.
 COMMON = 0.08
+#: A common word counts as seen so often in its language; a word counts in its triples up to so often.
+GIVEN, PER_WORD = 20, 5
+#: Of words and of triples, what is added to a count (parted among the languages), and how often one has to occur in some language.
+WORDS, TRIPLES = (1.0, 3), (2.0, 2)
+#: Counts of words that a worker holds before it passes them on.
+_HELD = 500_000
 #: Words whose scores a worker remembers.
 _REMEMBERED = 300_000
 #: Texts labelled together.
@@ -133,10 +139,24 @@ def sentences(text: str) -> list[list[tuple[int, str]]]:
     return out
 
 
+class Scores:
+    """Rows of numbers by word or triple, which are kept as hashes of 64 bits."""
+
+    def __init__(self, keys: list[str], rows: np.ndarray):
+        hashes = np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.rows = hashes[order], rows[order]
+
+    def get(self, key: str) -> np.ndarray | None:
+        h = np.uint64(xxhash.xxh64_intdigest(key))
+        i = int(np.searchsorted(self.hashes, h))
+        return self.rows[i] if i < len(self.hashes) and self.hashes[i] == h else None
+
+
 class Model:
     """Scores of words by language. languages are in order; `unknown` is the index of words in other scripts."""
 
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], triples: dict[str, np.ndarray], common: dict[str, frozenset[str]]):
+    def __init__(self, languages: list[str], words: Scores, triples: Scores, common: dict[str, frozenset[str]]):
         self.languages, self.words, self.triples, self.common = languages, words, triples, common
         self.unknown = len(languages)
         scripts = {x: Counter(map(script_of, common[x])).most_common(1)[0][0] for x in languages if common[x]}
@@ -183,40 +203,101 @@ class Model:
             self._ids, self._rows, self._often, self._scripts = {}, [], [], []
 
 
-def _log_ratios(counts: dict[str, Counter], languages: list[str], smooth: float, least: int) -> dict[str, np.ndarray]:
-    """By key, the log of its frequency in each language, less the highest."""
-    if not languages:
-        return {}
-    totals = np.array([max(1, sum(counts[x].values())) for x in languages], float)
-    keys = {k for x in languages for k, n in counts[x].items() if n >= least}
-    share = smooth / len(languages)
-    out = {}
-    for k in keys:
-        v = np.log(np.array([counts[x][k] for x in languages]) / totals * totals.mean() + share)
-        out[k] = (v - v.max()).astype(np.float32)
-    return out
+def _log_ratios(keys: list[str], counts: np.ndarray, totals: np.ndarray, smooth: float) -> Scores:
+    """By key, the log of its frequency in each language, less the highest. counts: [keys, languages]."""
+    if not keys:
+        return Scores([], np.zeros((0, len(totals)), np.float32))
+    totals = np.maximum(totals, 1).astype(float)
+    v = np.log(counts / totals * totals.mean() + smooth / len(totals))
+    return Scores(keys, (v - v.max(axis=1, keepdims=True)).astype(np.float32))
 
 
-def fit(texts: list[str], common: dict[str, frozenset[str]]) -> Model:
-    """A model of the common words' languages, from sentences in which the words of one language are clearly the most frequent."""
+def labelled(texts: list[str | None], common: dict[str, frozenset[str]]) -> Iterator[tuple[str, list[str]]]:
+    """(language, words) of the sentences in which the words of one language are clearly the most frequent."""
     languages = sorted(common)
-    words: dict[str, Counter] = {x: Counter() for x in languages}
-    triples: dict[str, Counter] = {x: Counter() for x in languages}
+    of: dict[str, list[int]] = {}
+    for i, x in enumerate(languages):
+        for w in common[x]:
+            of.setdefault(w, []).append(i)
     for text in texts:
-        for s in sentences(text):
+        for s in sentences(text) if text else []:
             found = _WORD.findall(" ".join(p for _, p in s).lower())
             if len(found) < SENTENCE:
                 continue
-            votes = sorted(((sum(w in common[x] for w in found), x) for x in languages), reverse=True)
-            if votes[0][0] >= 3 and votes[0][0] >= 1.5 * votes[1][0] and len({w for w in found if w in common[votes[0][1]]}) >= 2:
-                words[votes[0][1]].update(found)
+            votes = [0] * len(languages)
+            for w in found:
+                for i in of.get(w, ()):
+                    votes[i] += 1
+            first = max(votes)
+            best = votes.index(first)
+            second = max((n for i, n in enumerate(votes) if i != best), default=0)
+            if first >= 3 and first >= 1.5 * second and len({w for w in found if w in common[languages[best]]}) >= 2:
+                yield languages[best], found
+
+
+def fit(texts: list[str], common: dict[str, frozenset[str]]) -> Model:
+    """A model of the common words' languages, from the sentences of texts at hand; `fit_all` does the same for a table."""
+    languages = sorted(common)
+    words: dict[str, Counter] = {x: Counter(dict.fromkeys(common[x], GIVEN)) for x in languages}
+    triples: dict[str, Counter] = {x: Counter() for x in languages}
+    for x, found in labelled(texts, common) if languages else ():
+        words[x].update(found)
     for x in languages:
-        words[x].update({w: 20 for w in common[x]})
         for w, n in words[x].items():
             marked = f" {w} "
             for i in range(len(marked) - 2):
-                triples[x][marked[i : i + 3]] += n if n < 5 else 5
-    return Model(languages, _log_ratios(words, languages, 1.0, 3), _log_ratios(triples, languages, 2.0, 2), common)
+                triples[x][marked[i : i + 3]] += min(n, PER_WORD)
+
+    def scores(counts: dict[str, Counter], smooth: float, least: int) -> Scores:
+        keys = sorted({k for x in languages for k, n in counts[x].items() if n >= least})
+        table = np.array([[counts[x][k] for x in languages] for k in keys], np.int64).reshape(len(keys), len(languages))
+        return _log_ratios(keys, table, np.array([sum(counts[x].values()) for x in languages], np.int64), smooth)
+
+    return Model(languages, scores(words, *WORDS), scores(triples, *TRIPLES), common)
+
+
+def fit_all(segments: DataFrame, common: dict[str, frozenset[str]]) -> Model:
+    """The model of `fit`, from the texts of all rows."""
+    spark = segments.sparkSession
+    languages = sorted(common)
+    if not languages:
+        return fit([], common)
+    shared = spark.sparkContext.broadcast(common)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {x: Counter() for x in languages}
+
+        def passed_on() -> pa.RecordBatch:
+            columns = [[x for x in languages for _ in held[x]], [w for x in languages for w in held[x]], [n for x in languages for n in held[x].values()]]
+            for x in languages:
+                held[x].clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "key", "n"])
+
+        for b in batches:
+            for part in (b.slice(i, _TOGETHER) for i in range(0, b.num_rows, _TOGETHER)):
+                for x, found in labelled(part.column(0).to_pylist(), shared.value):
+                    held[x].update(found)
+                if sum(map(len, held.values())) > _HELD:
+                    yield passed_on()
+        yield passed_on()
+
+    counted = segments.filter("text IS NOT NULL").select("text").mapInArrow(count, "lang string, key string, n bigint")
+    given = spark.createDataFrame([(x, w, GIVEN) for x in languages for w in sorted(common[x])], "lang string, key string, n bigint")
+    words = checkpoint(counted.unionByName(given).groupBy("lang", "key").agg(F.sum("n").alias("n")))
+    marked = F.concat(F.lit(" "), "key", F.lit(" "))
+    each = F.transform(F.sequence(F.lit(1), F.length(marked) - 2), lambda i: F.substring(marked, i, F.lit(3)))
+    triples = words.select("lang", F.explode(each).alias("key"), F.least("n", F.lit(PER_WORD)).alias("n")).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+
+    def scores(counts: DataFrame, smooth: float, least: int) -> Scores:
+        total = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+        by_language = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(languages)]
+        rows = counts.groupBy("key").agg(F.max("n").alias("most"), *by_language).filter(F.col("most") >= least).drop("most").toArrow()
+        table = np.stack([rows.column(f"n{i}").to_numpy() for i in range(len(languages))], axis=1)
+        return _log_ratios(rows.column("key").to_pylist(), table, np.array([total[x] for x in languages], np.int64), smooth)
+
+    model = Model(languages, scores(words, *WORDS), scores(triples, *TRIPLES), common)
+    discard(words)
+    return model
 
 
 def spans(texts: list[str | None], model: Model) -> list[list[tuple[str, int, int, int, int, float]]]:
@@ -301,18 +382,10 @@ def common_by_language(words: DataFrame, most: int = 100_000) -> dict[str, froze
     return {x: frozenset(r.word for r in rows if r.lang == x) for x in sorted({r.lang for r in rows})}
 
 
-def sample(segments: DataFrame, n: int = SAMPLE) -> list[str]:
-    """At most `n` texts, drawn by a hash of the id: the same ones whatever the partitions."""
-    total = segments.count()
-    drawn = F.xxhash64("id") / F.lit(2.0**63)  # from -1 to 1
-    rows = segments.filter("text IS NOT NULL").select("id", "text", drawn.alias("drawn")).filter(F.col("drawn") < -1 + 4.0 * n / max(total, 1))
-    return [r.text for r in rows.orderBy("drawn", "id").limit(n).select("text").collect()]
-
-
 _SPAN = "id string, document_version_id string, lang string, start int, end int, words int, longest int, confidence double"
 
 
-def language_spans(segments: DataFrame, words: DataFrame, fit_on: int = SAMPLE) -> DataFrame:
+def language_spans(segments: DataFrame, words: DataFrame) -> DataFrame:
     """(id, document_version_id, lang, start, end, words, longest, confidence): the spans of one language in each segment, offsets within its text.
 
     `longest` is the number of words of the span's longest sentence, 0 if there is none with common words. Texts without words, null and empty ones have no
@@ -321,7 +394,7 @@ def language_spans(segments: DataFrame, words: DataFrame, fit_on: int = SAMPLE)
     spark = segments.sparkSession
     ship(spark)
     common = common_by_language(words)
-    shared = spark.sparkContext.broadcast(fit(sample(segments, fit_on) if common else [], common))
+    shared = spark.sparkContext.broadcast(fit_all(segments, common))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

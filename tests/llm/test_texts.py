@@ -325,3 +325,32 @@ def test_scripts_narrow_the_candidates():
     found = language.spans([text, "手紙はありませんでした。", None], model)
     assert [x[0] for x in found[0]] == ["en", "ru", "el", "de"] and [x[0] for x in found[1]] == ["ja"] and found[2] == []
     assert all(0 <= x[5] <= 1 for x in found[0]) and text[found[0][2][1] : found[0][2][2]].startswith("Η") and found[0][2][4] == 0
+
+
+def test_the_model_is_fitted_to_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(language, "_HELD", 50)
+    common = {k: frozenset(v) for k, v in WORDS.items()}
+    texts = [f"{SENTENCES[x]} {SENTENCES[x].replace(old, new)}" for x, old, new in (("en", "clerk", "warden"), ("de", "Karton", "Ordner"), ("fr", "lettre", "clé"))] * 1500
+    # What three of 4503 texts alone say counts as well.
+    rare = ["The quorvath has not been on the table that was in the hall.", "It is the quorvath that was not in the hall for the day.", "The quorvath was with the clerk and has not been in the hall."]
+    texts += rare
+    segments = spark.createDataFrame([(f"s{i}", t) for i, t in enumerate([*texts, None, ""])], "id string, text string").repartition(7)
+    model, whole = language.fit_all(segments, common), language.fit(texts, common)
+    assert model.languages == whole.languages
+    for a, b in ((model.words, whole.words), (model.triples, whole.triples)):
+        assert (a.hashes == b.hashes).all() and (a.rows == b.rows).all()
+    assert model.words.get("quorvath") is not None and model.words.get("nowhere") is None
+    for one in ({"en": common["en"]}, {}):
+        assert language.fit_all(segments, one).languages == sorted(one)
+    assert language.fit_all(segments.limit(0), common).words.get("the") is not None
+
+
+def test_spans_depend_on_words_of_all_texts(spark):
+    # "vandrel" stands in two German texts of 9000, so that a part of them leaves it unknown.
+    rows = [(f"s{i}", "v", SENTENCES["fr"]) for i in range(9000)] + [(f"d{i}", "v", f"Der vandrel ist nicht auf dem Tisch und er hat den vandrel nicht. {i}") for i in range(2)]
+    segments = spark.createDataFrame(rows, "id string, document_version_id string, text string")
+    common = {k: frozenset(v) for k, v in WORDS.items()}
+    score = language.fit_all(segments, common).score("vandrel")
+    assert score[1] < score[0] and score[2] < score[0]
+    words = spark.createDataFrame([(k, w) for k, x in WORDS.items() for w in x], "lang string, word string")
+    assert {(r.id, r.lang) for r in language.language_spans(segments, words).filter("id LIKE 'd%'").collect()} == {("d0", "de"), ("d1", "de")}
